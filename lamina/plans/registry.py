@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.plans import problems, problems_sql
+from lamina.plans import log, log_sql, problems, problems_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 PROBLEMS = (
     "p1_found", "p1_ranges", "p1_accepted", "p2_found", "p2_items", "p2_marks", "p3_found", "p3_objects", "p3_bridges",
     "p4_found", "p4_counts", "p5_found", "p5_committed",
 )
+LOG = (
+    "generation_winner", "edit_generation_status", "geometry_parts", "ring_order", "vertex_state", "rga_order", "structure_view", "export_geometry",
+)
 
 
 def queries() -> dict[str, Query]:
-    return {name: getattr(problems, name) for name in PROBLEMS}
+    return {name: getattr(problems, name) for name in PROBLEMS} | {name: getattr(log, name) for name in LOG}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problems_sql.SQL)
+    return problems_sql.SQL | log_sql.SQL
