@@ -217,6 +217,22 @@ def split_object(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out, dtype=object)
 
 
+@F.arrow_udf(T.StringType())
+def json_text(texts: pa.Array) -> pa.Array:
+    """A text as a JSON string literal; null as JSON null."""
+    return pa.array(["null" if t is None else quoted(t) for t in texts.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def object_text(maps: pa.Array) -> pa.Array:
+    """A map of raw values as a canonical JSON object; JSON null for null and empty maps."""
+    out = []
+    for pairs in maps.to_pylist():
+        members = ",".join(f"{quoted(k)}:{canonical_or_raw(v)}" for k, v in sorted(pairs or (), key=lambda kv: kv[0].encode()))
+        out.append("{" + members + "}" if members else "null")
+    return pa.array(out, pa.string())
+
+
 def base_document_text(document_id: str, features: list[tuple[str, str | None, dict[str, str] | None]]) -> str:
     """The text whose SHA-256 names a base: features by id, geometry as exported, properties as canonical JSON."""
     from lamina.functions import geojson

@@ -14,7 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.functions.geojson import geometry_error, geometry_text, shape
+from lamina.functions.canon import json_text, object_text
+from lamina.functions.geojson import feature_json, geometry_error, geometry_text, normal_geometry, shape
+from lamina.functions.topology import polygon_repair
+from lamina.operators import replay
 from lamina.operators.messages import stamp
 from lamina.session import cut
 
@@ -255,3 +258,36 @@ def geometries(t: Tables) -> DataFrame:
     none = F.array().cast("array<array<array<array<double>>>>")
     whole = t.shapes.select(*FEATURE, "type", "dims").join(by_feature, list(FEATURE), "left").withColumn("parts", F.coalesce("parts", none))
     return whole.select(*FEATURE, "type", "dims", geometry_text("type", "parts").alias("geometry"))
+
+
+def property_values(op: DataFrame, base: DataFrame) -> DataFrame:
+    """Current raw values: (document_id, feature_id, property_key, value) of visible features."""
+    op = usable(op)
+    won = replay.writes(op, base).groupBy(*FEATURE, "property_key").agg(F.max(F.struct("ts", "site_id", "seq", "gone", "value")).alias("w"))
+    alive = replay.liveness(op, base).where("visible").select(*FEATURE)
+    return won.where("NOT w.gone").select(*FEATURE, "property_key", F.col("w.value").alias("value")).join(alive, list(FEATURE), "left_semi")
+
+
+def features(op: DataFrame, base: DataFrame, repairs: int = 0) -> DataFrame:
+    """Visible features as GeoJSON: (document_id, feature_id, geometry, feature). Geometry null where there is none.
+
+    ``repairs`` is a mask of topology's bits, applied to polygons on the way out.
+    """
+    alive = replay.liveness(usable(op), base).where("visible").select(*FEATURE)
+    shown = geometries(Tables(op, base)).select(*FEATURE, polygon_repair(F.col("geometry"), repairs).alias("geometry"))
+    held = property_values(op, base).groupBy(*FEATURE).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("property_key", "value")))).alias("properties"))
+    rows = alive.join(shown, list(FEATURE), "left").join(held, list(FEATURE), "left")
+    return rows.select(*FEATURE, "geometry", feature_json("feature_id", "geometry", "properties").alias("feature"))
+
+
+def base_hashes(base: DataFrame) -> DataFrame:
+    """(document_id, base_hash): SHA-256 over the namespace and the base features by id, as canonical JSON.
+
+    One row per document; a document's base is one text, as the hash is defined on it.
+    """
+    once = base.dropDuplicates(list(FEATURE))
+    text = F.concat(F.lit('{"id":'), json_text("feature_id"), F.lit(',"geometry":'), F.coalesce(normal_geometry("geometry"), F.lit("null")), F.lit(',"properties":'), object_text("properties"), F.lit("}"))
+    rows = once.select("document_id", F.struct("feature_id", text.alias("text")).alias("f"))
+    joined = rows.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda x: x.text), ",").alias("body"))
+    whole = F.concat(F.lit('{"document_id":'), json_text("document_id"), F.lit(',"features":['), "body", F.lit("]}"))
+    return joined.select("document_id", F.sha2(whole, 256).alias("base_hash"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.functions import topology as topo
+from lamina.functions.geojson import normal_geometry
+from lamina.operators import clocks, envelope, replay
 from lamina.operators import geometry as geo
-from lamina.operators.messages import first_deliveries
+from lamina.operators.messages import first_deliveries, messages
 from lamina.session import table
 
 
@@ -60,3 +63,204 @@ def structure_view(spark: SparkSession, sf: str) -> DataFrame:
 def export_geometry(spark: SparkSession, sf: str) -> DataFrame:
     """GeoJSON geometry of each feature."""
     return geo.geometries(_tables(spark, sf))
+
+
+# --- validity ---
+
+
+def envelope_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Delivered rows by the first reason for which they are invalid."""
+    return table(spark, sf, "op_messages").withColumn("error", envelope.op_error()).groupBy("error").agg(F.count(F.lit(1)).alias("deliveries"))
+
+
+def identity_collisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Identities claimed by different contents."""
+    return envelope.collisions(table(spark, sf, "op_messages"))
+
+
+def delta_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Delta envelopes by the first reason for which they are invalid."""
+    return table(spark, sf, "delta_batches").withColumn("error", envelope.delta_error()).groupBy("error").agg(F.count(F.lit(1)).alias("batches"))
+
+
+# --- clocks ---
+
+
+def op_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """The log's operations per document and type."""
+    return _log(spark, sf).groupBy("document_id", "type").agg(F.count(F.lit(1)).alias("ops"))
+
+
+def frontier(spark: SparkSession, sf: str) -> DataFrame:
+    """Contiguous frontier and highest number of each stream."""
+    return clocks.frontier_of(messages(table(spark, sf, "op_messages")))
+
+
+def staged_ops(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges received beyond a gap."""
+    return clocks.staged(messages(table(spark, sf, "op_messages")))
+
+
+def sequence_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges of missing numbers."""
+    return clocks.gaps(messages(table(spark, sf, "op_messages")))
+
+
+def applied_clock(spark: SparkSession, sf: str) -> DataFrame:
+    """Highest number of each stream, gaps or not."""
+    return clocks.applied(messages(table(spark, sf, "op_messages")))
+
+
+def lamport_clock(spark: SparkSession, sf: str) -> DataFrame:
+    """Largest ts of each document."""
+    return clocks.lamport(messages(table(spark, sf, "op_messages")))
+
+
+def _peer(spark: SparkSession, sf: str) -> DataFrame:
+    """What each document's last snapshot had synced: clock rows."""
+    return clocks.as_rows(table(spark, sf, "delta_batches"), "vector_clock").groupBy("document_id", "site_id").agg(F.min("seq").alias("seq"))
+
+
+def delta_since(spark: SparkSession, sf: str) -> DataFrame:
+    """Operations that a peer lacks whose clock is the least that any delta of the document was sent with."""
+    return clocks.beyond(_log(spark, sf), _peer(spark, sf)).select("document_id", "site_id", "seq", "type")
+
+
+def clock_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Pointwise maximum of all clocks sent for a document."""
+    return clocks.as_rows(table(spark, sf, "delta_batches"), "vector_clock").groupBy("document_id", "site_id").agg(F.max("seq").alias("seq"))
+
+
+def clock_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Clock and compacted clock of each delta merged as maps, and whether the first covers the second."""
+    d = table(spark, sf, "delta_batches").where("compacted IS NOT NULL").dropDuplicates(["batch_id"])
+    both = clocks.merged(F.col("vector_clock"), F.col("compacted"))
+    total = F.aggregate(F.map_values(both), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return d.select("batch_id", total.alias("merged_total"), clocks.covered(F.col("compacted"), F.col("vector_clock")).alias("covered"))
+
+
+def compaction_gap(spark: SparkSession, sf: str) -> DataFrame:
+    """Deltas whose sender compacted more than the receiver of all messages knows contiguously."""
+    d = table(spark, sf, "delta_batches").where("compacted IS NOT NULL").select("batch_id", "document_id", F.explode("compacted").alias("site_id", "needed")).distinct()
+    known = frontier(spark, sf).select("document_id", "site_id", "frontier")
+    beyond = d.join(known, ["document_id", "site_id"], "left").where("needed > coalesce(frontier, 0)")
+    return beyond.groupBy("batch_id").agg(F.count(F.lit(1)).alias("sites"))
+
+
+def outbox_pending(spark: SparkSession, sf: str) -> DataFrame:
+    """Own operations of snapshots beyond what was synced: count and watermark per snapshot."""
+    s = table(spark, sf, "replica_snapshots").dropDuplicates(["id"])
+    pending = F.filter(F.coalesce("outbox_ops", F.array().cast(s.schema["outbox_ops"].dataType)), lambda o: (o.site_id == F.col("site_id")) & (o.seq > F.col("synced_through")))
+    last = F.array_max(F.transform(pending, lambda o: o.seq))
+    return s.select("id", F.size(pending).cast("bigint").alias("pending"), F.greatest("synced_through", last).alias("watermark"))
+
+
+# --- registers and reads ---
+
+
+def feature_liveness(spark: SparkSession, sf: str) -> DataFrame:
+    """Liveness registers of each feature."""
+    return replay.liveness(geo.usable(_log(spark, sf)), _base(spark, sf)).select(
+        "document_id", "feature_id", "is_base", F.col("created.ts").alias("created_ts"), F.col("deleted.ts").alias("deleted_ts"), "visible"
+    )
+
+
+def property_lww(spark: SparkSession, sf: str) -> DataFrame:
+    """The winning write of each property register."""
+    return replay.properties(geo.usable(_log(spark, sf)), _base(spark, sf))
+
+
+def property_tombstones(spark: SparkSession, sf: str) -> DataFrame:
+    """Deleted property registers."""
+    return property_lww(spark, sf).where("gone").drop("gone")
+
+
+def property_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw values of the current properties of visible features."""
+    return geo.property_values(_log(spark, sf), _base(spark, sf))
+
+
+def visible_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Features that exist now."""
+    return feature_liveness(spark, sf).where("visible").select("document_id", "feature_id")
+
+
+def geometry_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Coordinate layout of visible features with a geometry."""
+    shapes = _tables(spark, sf).shapes.select("document_id", "feature_id", F.when(F.col("dims") == 3, "XYZ").otherwise("XY").alias("layout"))
+    return shapes.join(visible_features(spark, sf), ["document_id", "feature_id"], "left_semi")
+
+
+def vertex_at_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The vertex at index 2 of each ring."""
+    return structure_view(spark, sf).where("index = 2").select("document_id", "feature_id", "part_id", "ring_id", "vertex_id")
+
+
+def export_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Visible features as GeoJSON texts."""
+    return geo.features(_log(spark, sf), _base(spark, sf))
+
+
+def export_feature_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """One FeatureCollection text per document, features by id."""
+    rows = export_features(spark, sf)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("feature_id", "feature"))), lambda x: x.feature)
+    body = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(texts, ","), F.lit("]}"))
+    return rows.groupBy("document_id").agg(body.alias("collection"))
+
+
+def lineage_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """SHA-256 of each document's base."""
+    return geo.base_hashes(_base(spark, sf))
+
+
+# --- polygons ---
+
+
+def _rings(spark: SparkSession, sf: str) -> DataFrame:
+    """Rings of add_ring messages as sent, one row per delivery."""
+    return messages(table(spark, sf, "op_messages")).where("geometry_op.action = 'add_ring'").select("delivery_id", F.col("geometry_op.ring").alias("ring"))
+
+
+def signed_area(spark: SparkSession, sf: str) -> DataFrame:
+    """Shoelace area of rings."""
+    return _rings(spark, sf).select("delivery_id", F.round(topo.signed_area(F.col("ring")), 9).alias("area"))
+
+
+def dedup_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Positions of rings, with their closing, once consecutive repeats are gone."""
+    doubled = F.concat("ring", F.slice("ring", -1, 1))
+    return _rings(spark, sf).select("delivery_id", F.size(topo.without_duplicates(doubled)).alias("positions"))
+
+
+def close_ring(spark: SparkSession, sf: str) -> DataFrame:
+    """Rings closed: how many positions, and the last one."""
+    c = topo.closed(F.col("ring"))
+    return _rings(spark, sf).select("delivery_id", F.size(c).alias("positions"), F.get(c, F.size(c) - 1)[0].alias("last_x"))
+
+
+def orient_ring(spark: SparkSession, sf: str) -> DataFrame:
+    """Closed rings turned clockwise, as holes are: the second position."""
+    o = topo.oriented(topo.closed(F.col("ring")), F.lit(False))
+    return _rings(spark, sf).select("delivery_id", F.get(o, F.lit(1))[0].alias("x"), F.get(o, F.lit(1))[1].alias("y"))
+
+
+def degenerate_ring(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the first two positions of rings alone, and all of them, are degenerate."""
+    return _rings(spark, sf).select("delivery_id", topo.degenerate(F.slice("ring", 1, 2)).alias("cut"), topo.degenerate(F.col("ring")).alias("whole"))
+
+
+def polygon_validity(spark: SparkSession, sf: str) -> DataFrame:
+    """Exported polygons that are not valid, and why."""
+    rows = export_geometry(spark, sf).withColumn("problem", topo.polygon_problem("geometry")).where("problem IS NOT NULL")
+    return rows.select("document_id", "feature_id", "problem")
+
+
+def polygon_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Exported geometries with all basic repairs."""
+    return export_geometry(spark, sf).select("document_id", "feature_id", topo.polygon_repair(F.col("geometry")).alias("geometry"))
+
+
+def normalized_geometry(spark: SparkSession, sf: str) -> DataFrame:
+    """Base geometries parsed and exported again."""
+    return _base(spark, sf).dropDuplicates(["document_id", "feature_id"]).select("document_id", "feature_id", normal_geometry("geometry").alias("geometry"))

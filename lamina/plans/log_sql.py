@@ -1,6 +1,6 @@
 """Standard SQL for the queries of log.py, over views named as the tables."""
 
-from lamina.plans.problems_sql import IDS, ISLANDS, MESSAGES, current
+from lamina.plans.problems_sql import IDS, ISLANDS, MESSAGES
 
 #: The op log: first deliveries.
 LOG = f"""{MESSAGES},
@@ -125,3 +125,66 @@ SELECT o.document_id, o.feature_id, o.part_id, o.ring_id, o.vertex_id, p.part_no
   row_number() OVER (PARTITION BY o.document_id, o.feature_id, o.part_id, o.ring_id ORDER BY o.ord) - 1 AS "index"
 FROM ordered o JOIN p_no p USING (document_id, feature_id, part_id) JOIN r_no r USING (document_id, feature_id, part_id, ring_id) WHERE NOT o.deleted""",
 }
+
+CLOCK_ROWS = """entries AS (SELECT document_id, unnest(map_entries(vector_clock)) AS e FROM delta_batches)"""
+LIFE = """life AS (
+  SELECT document_id, feature_id, bool_or(type = 'base') AS is_base, max(CASE WHEN type = 'insert_feature' THEN row(ts, site_id, seq) END) AS created,
+    max(CASE WHEN type = 'delete_feature' THEN row(ts, site_id, seq) END) AS deleted
+  FROM (SELECT document_id, feature_id, type, ts, site_id, seq FROM log WHERE type IN ('insert_feature', 'delete_feature')
+        UNION ALL SELECT document_id, feature_id, 'base', 0, '', 0 FROM base_features) GROUP BY document_id, feature_id
+),
+lives AS (SELECT *, CASE WHEN deleted IS NULL THEN is_base OR created IS NOT NULL ELSE coalesce(created > deleted, false) END AS visible FROM life)"""
+WRITES = """w AS (
+  SELECT document_id, feature_id, property_key, ts, site_id, seq, type = 'delete_property' AS gone, property_value AS value FROM log WHERE type IN ('set_property', 'delete_property')
+  UNION ALL
+  SELECT document_id, feature_id, e.key, ts, site_id, seq, false, e.value FROM (SELECT document_id, feature_id, ts, site_id, seq, unnest(map_entries(properties)) AS e FROM log WHERE type = 'insert_feature')
+  UNION ALL
+  SELECT document_id, feature_id, e.key, 0, '', 0, false, e.value FROM (SELECT document_id, feature_id, unnest(map_entries(properties)) AS e FROM (SELECT DISTINCT document_id, feature_id, properties FROM base_features))
+),
+won AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY document_id, feature_id, property_key ORDER BY ts DESC, site_id DESC, seq DESC) = 1)"""
+RINGS = f"""{MESSAGES},
+r AS (SELECT delivery_id, geometry_op.ring AS ring FROM m WHERE geometry_op.action = 'add_ring'),
+c AS (SELECT delivery_id, ring, CASE WHEN len(ring) < 3 OR (ring[1][1] = ring[-1][1] AND ring[1][2] = ring[-1][2]) THEN ring ELSE list_append(ring, ring[1]) END AS shut FROM r)"""
+
+
+def area(ring: str) -> str:
+    """Twice the shoelace area."""
+    return f"list_sum(list_transform(range(1, len({ring}) + 1), lambda i: {ring}[i][1] * {ring}[i % len({ring}) + 1][2] - {ring}[i % len({ring}) + 1][1] * {ring}[i][2]))"
+
+
+SQL |= {
+    "op_dedup": f"WITH {LOG} SELECT document_id, type, count(*) AS ops FROM log GROUP BY document_id, type",
+    "frontier": f"WITH {MESSAGES}, {IDS}, {ISLANDS} SELECT document_id, site_id, coalesce(max(hi) FILTER (WHERE lo = 1), 0) AS frontier, max(hi) AS highest FROM islands GROUP BY document_id, site_id",
+    "staged_ops": f"WITH {MESSAGES}, {IDS}, {ISLANDS} SELECT document_id, site_id, lo, hi FROM islands WHERE lo > 1",
+    "sequence_gaps": f"""WITH {MESSAGES}, {IDS}, {ISLANDS}
+SELECT document_id, site_id, below + 1 AS lo, lo - 1 AS hi FROM (SELECT *, coalesce(lag(hi) OVER (PARTITION BY document_id, site_id ORDER BY lo), 0) AS below FROM islands) WHERE below + 1 <= lo - 1""",
+    "applied_clock": f"WITH {MESSAGES} SELECT document_id, site_id, max(seq) AS applied FROM m GROUP BY document_id, site_id",
+    "lamport_clock": f"WITH {MESSAGES} SELECT document_id, max(ts) AS clock FROM m GROUP BY document_id",
+    "clock_merge": f"WITH {CLOCK_ROWS} SELECT document_id, e.key AS site_id, max(e.value) AS seq FROM entries GROUP BY document_id, e.key",
+    "delta_since": f"""WITH {LOG}, {CLOCK_ROWS}, peer AS (SELECT document_id, e.key AS site_id, min(e.value) AS known FROM entries GROUP BY document_id, e.key)
+SELECT l.document_id, l.site_id, l.seq, l.type FROM log l LEFT JOIN peer p ON p.document_id = l.document_id AND p.site_id = l.site_id WHERE l.seq > coalesce(p.known, 0)""",
+    "clock_pairs": """SELECT batch_id, CAST(list_sum(list_transform(list_distinct(list_concat(map_keys(vector_clock), map_keys(compacted))),
+    lambda k: greatest(coalesce(vector_clock[k], 0), coalesce(compacted[k], 0)))) AS BIGINT) AS merged_total,
+  len(list_filter(map_entries(compacted), lambda e: e.value > coalesce(vector_clock[e.key], 0))) = 0 AS covered
+FROM (SELECT * FROM delta_batches WHERE compacted IS NOT NULL QUALIFY row_number() OVER (PARTITION BY batch_id) = 1)""",
+    "compaction_gap": f"""WITH {MESSAGES}, {IDS}, {ISLANDS}, f AS (SELECT document_id, site_id, max(hi) FILTER (WHERE lo = 1) AS frontier FROM islands GROUP BY document_id, site_id),
+n AS (SELECT DISTINCT batch_id, document_id, e.key AS site_id, e.value AS needed FROM (SELECT batch_id, document_id, unnest(map_entries(compacted)) AS e FROM delta_batches))
+SELECT batch_id, count(*) AS sites FROM n LEFT JOIN f USING (document_id, site_id) WHERE needed > coalesce(frontier, 0) GROUP BY batch_id""",
+    "outbox_pending": """SELECT id, CAST(len(pending) AS BIGINT) AS pending, greatest(synced_through, list_max(list_transform(pending, lambda o: o.seq))) AS watermark FROM (
+  SELECT id, synced_through, list_filter(coalesce(outbox_ops, []), lambda o: o.site_id = site_id AND o.seq > synced_through) AS pending FROM replica_snapshots
+  QUALIFY row_number() OVER (PARTITION BY id) = 1)""",
+    "feature_liveness": f"WITH {LOG}, {LIFE} SELECT document_id, feature_id, is_base, created[1] AS created_ts, deleted[1] AS deleted_ts, visible FROM lives",
+    "visible_features": f"WITH {LOG}, {LIFE} SELECT document_id, feature_id FROM lives WHERE visible",
+    "property_lww": f"WITH {LOG}, {WRITES} SELECT document_id, feature_id, property_key, ts, site_id, seq, gone FROM won",
+    "property_tombstones": f"WITH {LOG}, {WRITES} SELECT document_id, feature_id, property_key, ts, site_id, seq FROM won WHERE gone",
+    "property_values": f"WITH {LOG}, {LIFE}, {WRITES} SELECT document_id, feature_id, property_key, value FROM won SEMI JOIN (SELECT * FROM lives WHERE visible) USING (document_id, feature_id) WHERE NOT gone",
+    "geometry_layout": f"WITH {TABLES}, {LIFE} SELECT document_id, feature_id, CASE WHEN len(parts[1][1][1]) = 3 THEN 'XYZ' ELSE 'XY' END AS layout FROM shapes SEMI JOIN (SELECT * FROM lives WHERE visible) USING (document_id, feature_id)",
+    "vertex_at_index": f"WITH RECURSIVE s AS ({SQL['structure_view']}) SELECT document_id, feature_id, part_id, ring_id, vertex_id FROM s WHERE \"index\" = 2",
+    "signed_area": f"WITH {RINGS} SELECT delivery_id, round(CASE WHEN len(ring) < 3 THEN 0.0 ELSE {area('ring')} / 2 END, 9) AS area FROM r",
+    "dedup_positions": f"""WITH {RINGS}, d AS (SELECT delivery_id, list_append(ring, ring[len(ring)]) AS ring FROM r)
+SELECT delivery_id, CAST(len(list_filter(range(1, len(ring) + 1), lambda i: i = 1 OR NOT (ring[i][1] = ring[i - 1][1] AND ring[i][2] = ring[i - 1][2]))) AS INTEGER) AS positions FROM d""",
+    "close_ring": f"WITH {RINGS} SELECT delivery_id, CAST(len(shut) AS INTEGER) AS positions, shut[len(shut)][1] AS last_x FROM c",
+    "orient_ring": f"WITH {RINGS}, t AS (SELECT delivery_id, shut, {area('shut')} AS twice FROM c) SELECT delivery_id, CASE WHEN twice > 0 THEN shut[len(shut) - 2][1] ELSE shut[2][1] END AS x, CASE WHEN twice > 0 THEN shut[len(shut) - 2][2] ELSE shut[2][2] END AS y FROM t",
+    "degenerate_ring": f"""WITH {RINGS}, k AS (SELECT delivery_id, list_filter(range(1, len(ring) + 1), lambda i: i = 1 OR NOT (ring[i][1] = ring[i - 1][1] AND ring[i][2] = ring[i - 1][2])) AS kept, ring FROM r)
+SELECT delivery_id, true AS cut, len(kept) - CASE WHEN len(kept) >= 2 AND ring[kept[1]][1] = ring[kept[len(kept)]][1] AND ring[kept[1]][2] = ring[kept[len(kept)]][2] THEN 1 ELSE 0 END < 3 AS whole FROM k""",
+}

@@ -15,6 +15,10 @@ PROBLEMS = (
 )
 LOG = (
     "generation_winner", "edit_generation_status", "geometry_parts", "ring_order", "vertex_state", "rga_order", "structure_view", "export_geometry",
+    "envelope_errors", "identity_collisions", "delta_errors", "op_dedup", "frontier", "staged_ops", "sequence_gaps", "applied_clock", "lamport_clock",
+    "delta_since", "clock_merge", "clock_pairs", "compaction_gap", "outbox_pending", "feature_liveness", "property_lww", "property_tombstones",
+    "property_values", "visible_features", "geometry_layout", "vertex_at_index", "export_features", "export_feature_collection", "lineage_hash",
+    "signed_area", "dedup_positions", "close_ring", "orient_ring", "degenerate_ring", "polygon_validity", "polygon_repair", "normalized_geometry",
 )
 
 
