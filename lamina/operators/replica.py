@@ -674,20 +674,3 @@ def _engine_in(g: dict) -> Engine:
             rings[r["id"]] = en.Ring(r["key"]["init"], _stamp_in(r["key"]["stamp"]), bool(r["exterior"]), held, bool(r["deleted"]))
         parts[p["id"]] = en.Part(p["key"]["init"], _stamp_in(p["key"]["stamp"]), rings, bool(p["deleted"]))
     return Engine(g["type"], g["dims"], parts)
-
-
-def to_wire(value: dict) -> str:
-    """A delta or snapshot as JSON: absent members are left out, raw JSON members are written as JSON."""
-    raw = {"geometry", "property_value", "part", "value"}
-
-    def text(v: Any, name: str | None = None, owner: dict | None = None) -> str:
-        if isinstance(v, str):
-            return v if name in raw else quoted(v)
-        if isinstance(v, dict):
-            inner = "value" if name == "properties" and owner is not None and "type" in owner else None
-            return "{" + ",".join(f"{quoted(k)}:{text(x, inner or k, v)}" for k, x in v.items() if x is not None and x != {} and x != []) + "}"
-        if isinstance(v, (list, tuple)):
-            return "[" + ",".join(text(x) for x in v) + "]"
-        return write(v)
-
-    return text(value)

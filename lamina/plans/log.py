@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import topology as topo
 from lamina.functions.geojson import normal_geometry
-from lamina.operators import clocks, envelope, replay
+from lamina.operators import clocks, envelope, outcomes, replay, snapshots
 from lamina.operators import geometry as geo
 from lamina.operators.messages import first_deliveries, messages
-from lamina.session import table
+from lamina.session import shared_dir, table
+from lamina.sources import wire
+from lamina.sources.stores import OpStore
+from lamina.streaming import merge as live
 
 
 def _log(spark: SparkSession, sf: str) -> DataFrame:
@@ -264,3 +269,76 @@ def polygon_repair(spark: SparkSession, sf: str) -> DataFrame:
 def normalized_geometry(spark: SparkSession, sf: str) -> DataFrame:
     """Base geometries parsed and exported again."""
     return _base(spark, sf).dropDuplicates(["document_id", "feature_id"]).select("document_id", "feature_id", normal_geometry("geometry").alias("geometry"))
+
+
+# --- merges, stores, snapshots, streams ---
+
+
+def merge_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """What one merge of the log does with each operation."""
+    return outcomes.outcomes(_log(spark, sf), _base(spark, sf))
+
+
+def merge_tally(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes per document, repeated deliveries as duplicates."""
+    return outcomes.tally(table(spark, sf, "op_messages"), _log(spark, sf), _base(spark, sf))
+
+
+def snapshot_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Structural rules that snapshots break."""
+    return snapshots.judged(table(spark, sf, "replica_snapshots"))
+
+
+def snapshot_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Features held by snapshots: registers flattened, one row per snapshot and feature."""
+    s = table(spark, sf, "replica_snapshots").groupBy("id").agg(F.first("features").alias("features"))
+    f = s.select(F.col("id").alias("snapshot_id"), F.explode("features").alias("f"))
+    vertices = F.aggregate(
+        F.flatten(F.transform(F.coalesce("f.geometry.parts", F.array().cast(dict(f.select("f.geometry.parts").dtypes)["parts"])), lambda p: p.rings)),
+        F.lit(0).cast("bigint"), lambda n, r: n + F.size(r.vertices),
+    )
+    return f.select("snapshot_id", F.col("f.id").alias("feature_id"), F.col("f.base").alias("base"), F.col("f.create_reg.ts").alias("created_ts"), F.col("f.delete_reg.ts").alias("deleted_ts"), F.col("f.geometry.type").alias("type"), vertices.alias("vertices"))
+
+
+def op_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The log appended to a store twice and scanned beyond the least clock sent."""
+    store = OpStore(spark, f"{shared_dir(spark)}/op_store-{uuid.uuid4().hex}")
+    log = _log(spark, sf)
+    store.append(log)
+    store.append(log)
+    return store.since(_peer(spark, sf)).select("document_id", "site_id", "seq", "type")
+
+
+def delta_wire(spark: SparkSession, sf: str) -> DataFrame:
+    """Deltas of what each document's peer lacks, as wire texts."""
+    log = _log(spark, sf)
+    heads = table(spark, sf, "delta_batches").groupBy("document_id").agg(F.max(F.struct("version", "site_id", "base_hash")).alias("h"))
+    clock = clocks.as_map(clocks.frontier_of(log), "frontier")
+    envelopes = heads.join(clocks.lamport(log), "document_id").join(clock, "document_id").select("h.version", "document_id", "h.site_id", "h.base_hash", "clock", "vector_clock", F.lit(None).cast("map<string,bigint>").alias("compacted"))
+    return wire.delta_rows(clocks.beyond(log, _peer(spark, sf)), envelopes)
+
+
+def rebase_base(spark: SparkSession, sf: str) -> DataFrame:
+    """The base of each document's next epoch: its visible features with geometry and current properties."""
+    log, base = _log(spark, sf), _base(spark, sf)
+    shown = geo.features(log, base).select("document_id", "feature_id", "geometry")
+    held = geo.property_values(log, base).groupBy("document_id", "feature_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("property_key", "value")))).alias("properties"))
+    return shown.join(held, ["document_id", "feature_id"], "left")
+
+
+def rebase_unsafe(spark: SparkSession, sf: str) -> DataFrame:
+    """Why documents can't be cut yet: delivery gaps, edits that still wait."""
+    gaps = staged_ops(spark, sf).groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).select("document_id", F.lit("delivery gaps").alias("reason"), "n")
+    waiting = merge_outcomes(spark, sf).where("outcome = 'buffered'").groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).select("document_id", F.lit("waiting edits").alias("reason"), "n")
+    return gaps.unionByName(waiting)
+
+
+def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Current properties after the messages came in as a stream."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    batch = table(spark, sf, "op_messages")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/op_messages.parquet")
+    alone = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()  # a stream reads folders, so a single file is picked from its own
+    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "op_messages.parquet" if alone else "*.parquet").option("maxFilesPerTrigger", 4).parquet(sf if alone else str(path))
+    live.run_available(stream, f"{at}/out", f"{at}/checkpoint")
+    return live.settle(spark.read.schema(live.OUTPUT).parquet(f"{at}/out/*"), _base(spark, sf))

@@ -1,6 +1,6 @@
 """Standard SQL for the queries of log.py, over views named as the tables."""
 
-from lamina.plans.problems_sql import IDS, ISLANDS, MESSAGES
+from lamina.plans.problems_sql import IDS, ISLANDS, MESSAGES, P5_FOUND
 
 #: The op log: first deliveries.
 LOG = f"""{MESSAGES},
@@ -188,3 +188,10 @@ SELECT delivery_id, CAST(len(list_filter(range(1, len(ring) + 1), lambda i: i =
     "degenerate_ring": f"""WITH {RINGS}, k AS (SELECT delivery_id, list_filter(range(1, len(ring) + 1), lambda i: i = 1 OR NOT (ring[i][1] = ring[i - 1][1] AND ring[i][2] = ring[i - 1][2])) AS kept, ring FROM r)
 SELECT delivery_id, true AS cut, len(kept) - CASE WHEN len(kept) >= 2 AND ring[kept[1]][1] = ring[kept[len(kept)]][1] AND ring[kept[1]][2] = ring[kept[len(kept)]][2] THEN 1 ELSE 0 END < 3 AS whole FROM k""",
 }
+SQL |= {
+    "stream_merge": P5_FOUND,
+    "op_store": SQL["delta_since"],
+    "snapshot_state": """SELECT snapshot_id, f.id AS feature_id, f.base AS base, f.create_reg.ts AS created_ts, f.delete_reg.ts AS deleted_ts, f.geometry.type AS type,
+  CAST(coalesce(list_sum(list_transform(f.geometry.parts, lambda p: list_sum(list_transform(p.rings, lambda r: len(r.vertices))))), 0) AS BIGINT) AS vertices
+FROM (SELECT id AS snapshot_id, unnest(features) AS f FROM replica_snapshots QUALIFY row_number() OVER (PARTITION BY id) = 1)""",
+}
