@@ -136,7 +136,7 @@ def payload_digest(op: dict[str, Any]) -> bytes:
     """
     gen, edit = op.get("gen"), op.get("geometry_op")
     out = [_piece(op.get(k)) for k in ("type", "site_id", "feature_id", "property_key")]
-    out += [b"%d,%d" % (op.get("seq") or 0, op.get("ts") or 0), _piece(canonical_or_raw(op.get("geometry")))]
+    out += [f"{op.get('seq')},{op.get('ts')}".encode(), _piece(canonical_or_raw(op.get("geometry")))]
     properties = op.get("properties") or {}
     for key, value in sorted(properties.items() if isinstance(properties, dict) else properties):
         out += [_piece(key), _piece(canonical_or_raw(value))]
