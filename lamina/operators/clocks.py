@@ -75,7 +75,7 @@ def covered(a: Column, b: Column) -> Column:
     """Whether clock map ``b`` has at least every entry of ``a``; null maps are empty clocks."""
     empty = F.create_map().cast("map<string,bigint>")
     have = F.coalesce(b, empty)
-    return F.forall(F.map_entries(F.coalesce(a, empty)), lambda e: e.value <= F.coalesce(have.getItem(e.key), F.lit(0)))
+    return F.forall(F.map_entries(F.coalesce(a, empty)), lambda e: e.value <= F.coalesce(have[e.key], F.lit(0)))
 
 
 def as_map(clock: DataFrame, value: str = "seq") -> DataFrame:
