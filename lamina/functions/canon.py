@@ -86,11 +86,11 @@ def canonical_or_raw(text: str | None) -> str | None:
 
 def float_text(x: float) -> str:
     """Shortest text of a double: plain between 1e-6 and 1e21, else with an exponent; -0 keeps its sign."""
+    digits = repr(x)
+    if "e" not in digits and "n" not in digits:  # within 1e-4 and 1e16, where both write plain figures
+        return digits[:-2] if digits.endswith(".0") else digits
     if x != x or math.isinf(x):
         raise ValueError("not a finite number")
-    if x == 0:
-        return "-0" if math.copysign(1.0, x) < 0 else "0"
-    digits = repr(x)
     mantissa, _, exponent = digits.partition("e")
     sign = "-" if mantissa[0] == "-" else ""
     whole, _, fraction = mantissa.lstrip("-").partition(".")

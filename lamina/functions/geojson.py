@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
+from itertools import chain
 from typing import Any
 
 import pyarrow as pa
@@ -16,6 +18,15 @@ from lamina.functions.canon import Lexeme, float_text, loads, quoted, write
 from lamina.schemas import GEOMETRY_TYPES
 
 Position = tuple[float, ...]
+_NUMBERS = frozenset({float, int, Lexeme})
+
+
+def _no_constant(name: str) -> Any:
+    raise ValueError(f"{name} is not JSON")
+
+
+#: For geometries numbers are doubles, so the decoder may make them.
+_DECODER = json.JSONDecoder(parse_constant=_no_constant)
 #: Arrays around a position, by type.
 LEVELS = {"Point": 0, "LineString": 1, "MultiPoint": 1, "Polygon": 2, "MultiLineString": 2, "MultiPolygon": 3}
 
@@ -52,14 +63,27 @@ def position(value: Any) -> Position:
     values = _list(value, "a position")
     if len(values) not in (2, 3):
         raise InvalidGeometry("a position has exactly 2 or 3 values")
-    if not all(isinstance(v, (Lexeme, float, int)) and not isinstance(v, bool) for v in values):
+    if not _NUMBERS.issuperset(map(type, values)):
         raise InvalidGeometry("position values must be numbers")
-    out = tuple(float(v) for v in values)
+    out = tuple(map(float, values))
     if not all(map(math.isfinite, out)):
         raise InvalidGeometry("position values must be finite")
     return out
 
 
+def line(value: Any) -> list[Position]:
+    """Positions of an array; checked all at once, and one by one only where something is odd."""
+    values = _list(value, "coordinates")
+    try:
+        plain = {2, 3}.issuperset(map(len, values)) and _NUMBERS.issuperset(map(type, chain.from_iterable(values)))
+        out = [tuple(map(float, p)) for p in values] if plain else None
+        if out is not None and math.isfinite(sum(map(sum, out))):
+            return out
+    except TypeError:
+        pass
+    return [position(p) for p in values]
+
+
 def open_ring(ring: list[Position]) -> list[Position]:
     """Without the closing position, if it repeats the first in all values."""
     return ring[:-1] if len(ring) >= 2 and ring[0] == ring[-1] else ring
@@ -70,12 +94,22 @@ def distinct_xy(ring: list[Position]) -> int:
     return len({(p[0] + 0.0, p[1] + 0.0) for p in ring})
 
 
+def has_area(ring: list[Position]) -> bool:
+    """Whether there are three different planar positions; looks no further."""
+    seen = set()
+    for p in ring:
+        seen.add((p[0] + 0.0, p[1] + 0.0))
+        if len(seen) > 2:
+            return True
+    return False
+
+
 def polygon(value: Any) -> list[list[Position]]:
     """Open rings of polygon coordinates, each with three distinct positions or more."""
-    rings = [open_ring([position(p) for p in _list(r, "a ring")]) for r in _list(value, "polygon coordinates")]
+    rings = [open_ring(line(r)) for r in _list(value, "polygon coordinates")]
     if not rings:
         raise InvalidGeometry("a polygon has at least one ring")
-    if min(map(distinct_xy, rings)) < 3:
+    if not all(map(has_area, rings)):
         raise InvalidGeometry("a polygon ring has at least 3 distinct positions")
     return rings
 
@@ -87,7 +121,6 @@ def shape_of(value: Any) -> Shape:
     kind, raw = value.get("type"), value.get("coordinates")
     if kind not in GEOMETRY_TYPES or isinstance(kind, Lexeme):
         raise UnsupportedGeometry(f"geometry type {kind!r}")
-    line = lambda v: [position(p) for p in _list(v, "coordinates")]
     if kind == "Point":
         parts = [[[position(raw)]]]
     elif kind == "LineString":
@@ -111,8 +144,8 @@ def shape_of(value: Any) -> Shape:
 def parse(text: str) -> Shape:
     """Shape of a GeoJSON geometry text; raises InvalidGeometry or UnsupportedGeometry."""
     try:
-        value = loads(text)
-    except ValueError as e:
+        value = _DECODER.decode(text)
+    except (ValueError, RecursionError, OverflowError) as e:
         raise InvalidGeometry(str(e)) from None
     return shape_of(value)
 
@@ -121,6 +154,8 @@ def coordinates_text(value: Any) -> str:
     """Nested lists of positions as JSON; values are floats."""
     if isinstance(value, float):
         return float_text(value)
+    if value and isinstance(value[0], float):
+        return "[" + ",".join(map(float_text, value)) + "]"
     return "[" + ",".join([coordinates_text(v) for v in value]) + "]"
 
 

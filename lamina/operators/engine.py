@@ -20,7 +20,7 @@ Stamp = tuple[int, bytes, int]
 APPLIED, DUPLICATE, SUPERSEDED, BUFFERED, QUARANTINED = "applied", "duplicate", "superseded", "buffered", "quarantined"
 
 
-@dataclass
+@dataclass(slots=True)
 class Vertex:
     """A vertex: its place among the initial ones, or the stamp and predecessor of its insertion."""
 
@@ -273,6 +273,14 @@ class Engine:
         part.deleted = True
         return _DONE
 
+    def place(self, part_id: str, ring_id: str, vertex_id: str, coord: list[float]) -> None:
+        """Give a vertex, if it exists, the position of its newest valid move; order doesn't matter then."""
+        part = self.parts.get(part_id)
+        ring = part.rings.get(ring_id) if part else None
+        vertex = ring.vertices.get(vertex_id) if ring else None
+        if vertex is not None and len(coord) == self.dims:
+            vertex.coord = tuple(coord)
+
     # --- local edits, checked strictly ---
 
     def require(self, op: dict) -> None:
@@ -325,6 +333,8 @@ class Engine:
         """Vertex ids in document order, tombstones included."""
         ids = list(ring.vertices)
         v = list(ring.vertices.values())
+        if all([x.after is None and x.made is None for x in v]):
+            return sorted(ids, key=lambda i: ring.vertices[i].pos)
         rows = document_order(ids, [x.after for x in v], [x.pos for x in v], [x.made for x in v])
         return [ids[r] for r in rows]
 

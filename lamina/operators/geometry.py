@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.canon import json_text, object_text
-from lamina.functions.geojson import feature_json, geometry_error, geometry_text, normal_geometry, shape
-from lamina.functions.topology import polygon_repair
+from lamina.functions.geojson import geometry_error, geometry_text, normal_geometry, shape
 from lamina.operators import replay
 from lamina.operators.messages import stamp
 from lamina.session import cut
@@ -268,18 +267,6 @@ def property_values(op: DataFrame, base: DataFrame) -> DataFrame:
     return won.where("NOT w.gone").select(*FEATURE, "property_key", F.col("w.value").alias("value")).join(alive, list(FEATURE), "left_semi")
 
 
-def features(op: DataFrame, base: DataFrame, repairs: int = 0) -> DataFrame:
-    """Visible features as GeoJSON: (document_id, feature_id, geometry, feature). Geometry null where there is none.
-
-    ``repairs`` is a mask of topology's bits, applied to polygons on the way out.
-    """
-    alive = replay.liveness(usable(op), base).where("visible").select(*FEATURE)
-    shown = geometries(Tables(op, base)).select(*FEATURE, polygon_repair(F.col("geometry"), repairs).alias("geometry"))
-    held = property_values(op, base).groupBy(*FEATURE).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("property_key", "value")))).alias("properties"))
-    rows = alive.join(shown, list(FEATURE), "left").join(held, list(FEATURE), "left")
-    return rows.select(*FEATURE, "geometry", feature_json("feature_id", "geometry", "properties").alias("feature"))
-
-
 def base_hashes(base: DataFrame) -> DataFrame:
     """(document_id, base_hash): SHA-256 over the namespace and the base features by id, as canonical JSON.
 

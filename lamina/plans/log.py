@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import topology as topo
 from lamina.functions.geojson import normal_geometry
-from lamina.operators import clocks, envelope, outcomes, replay, snapshots
+from lamina.operators import clocks, envelope, export, outcomes, replay, snapshots
 from lamina.operators import geometry as geo
 from lamina.operators.messages import first_deliveries, messages
 from lamina.session import shared_dir, table
@@ -67,6 +67,11 @@ def structure_view(spark: SparkSession, sf: str) -> DataFrame:
 
 def export_geometry(spark: SparkSession, sf: str) -> DataFrame:
     """GeoJSON geometry of each feature."""
+    return export.geometries(_log(spark, sf), _base(spark, sf))
+
+
+def geometry_from_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """GeoJSON geometry of each feature, put together from the element tables."""
     return geo.geometries(_tables(spark, sf))
 
 
@@ -203,7 +208,7 @@ def vertex_at_index(spark: SparkSession, sf: str) -> DataFrame:
 
 def export_features(spark: SparkSession, sf: str) -> DataFrame:
     """Visible features as GeoJSON texts."""
-    return geo.features(_log(spark, sf), _base(spark, sf))
+    return export.features(_log(spark, sf), _base(spark, sf))
 
 
 def export_feature_collection(spark: SparkSession, sf: str) -> DataFrame:
@@ -321,7 +326,7 @@ def delta_wire(spark: SparkSession, sf: str) -> DataFrame:
 def rebase_base(spark: SparkSession, sf: str) -> DataFrame:
     """The base of each document's next epoch: its visible features with geometry and current properties."""
     log, base = _log(spark, sf), _base(spark, sf)
-    shown = geo.features(log, base).select("document_id", "feature_id", "geometry")
+    shown = export.features(log, base).select("document_id", "feature_id", "geometry")
     held = geo.property_values(log, base).groupBy("document_id", "feature_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("property_key", "value")))).alias("properties"))
     return shown.join(held, ["document_id", "feature_id"], "left")
 

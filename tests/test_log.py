@@ -9,7 +9,7 @@ from test_problems import EDIT, T0, frame, message
 
 from lamina import errors
 from lamina.functions import geojson
-from lamina.operators import clocks, envelope, outcomes, replica
+from lamina.operators import clocks, envelope, export, outcomes, replica
 from lamina.operators import geometry as geo
 from lamina.operators.messages import first_deliveries
 from lamina.plans import log, log_sql
@@ -45,6 +45,10 @@ def test_tables_agree_with_replicas(spark, sf, replicas):
     assert got == {d: r.collection() for d, (r, _) in replicas.items() if r.visible_ids()}
 
 
+def test_fold_agrees_with_tables(spark, sf):
+    assert spark_rows(log.export_geometry(spark, sf)) == spark_rows(log.geometry_from_tables(spark, sf))
+
+
 def test_outcomes_agree_with_replicas(spark, sf, replicas):
     got = {(r.document_id, r.outcome): r.ops for r in outcomes.tally(first_deliveries(spark.read.parquet(f"{sf}/op_messages.parquet")).withColumn("batch_id", F.lit(1)), log._log(spark, sf), log._base(spark, sf)).collect()}
     want = {}
@@ -69,7 +73,7 @@ def test_lineage_agrees_with_replicas(spark, sf, replicas):
 
 def test_empty_tables(spark):
     op, base = first_deliveries(frame(spark, [])), frame(spark, [], BASE_DDL)
-    assert geo.features(op, base).count() == 0
+    assert export.features(op, base).count() == 0
     assert outcomes.outcomes(op, base).count() == 0
     assert clocks.frontier_of(op).count() == clocks.staged(op).count() == clocks.gaps(op).count() == 0
     assert geo.base_hashes(base).count() == 0
