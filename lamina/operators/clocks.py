@@ -94,5 +94,5 @@ def beyond(op: DataFrame, clock: DataFrame) -> DataFrame:
 
     One equi join on the stream; adaptive execution broadcasts the clock while it's small and splits hot streams else.
     """
-    known = clock.groupBy(*STREAM).agg(F.max("seq").alias("known"))
-    return op.join(known, list(STREAM), "left").where(F.col("seq") > F.coalesce("known", F.lit(0))).drop("known")
+    known = clock.groupBy(*STREAM).agg(F.max("seq").alias("_known"))
+    return op.join(known, list(STREAM), "left").where(F.col("seq") > F.coalesce("_known", F.lit(0))).drop("_known")

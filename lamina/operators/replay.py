@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators.clocks import frontier_of
 from lamina.operators.messages import messages, not_blank, stamp
+from lamina.schemas import OP_COLUMNS
 
 CHANGES = ("insert_feature", "delete_feature", "set_property", "delete_property")
 FEATURE = ("document_id", "feature_id")
@@ -22,7 +23,7 @@ FEATURE = ("document_id", "feature_id")
 
 def committed(rows: DataFrame) -> DataFrame:
     """Messages at or below their stream's contiguous committed watermark."""
-    op = messages(rows)
+    op = messages(rows).select("document_id", *OP_COLUMNS)
     mark = frontier_of(op.select("document_id", "site_id", "seq"))
     salted = mark.select("document_id", "site_id", "frontier", F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<bigint>")).alias("salt"))
     joined = op.withColumn("salt", F.pmod(F.col("seq"), F.lit(16))).join(salted, ["document_id", "site_id", "salt"])

@@ -260,3 +260,20 @@ def test_replay(spark):
     held = sorted((r.feature_id, r.property_key, r.seq) for r in replay.current(df, base, flush=False).collect())
     assert held == [("f", "a", 2), ("f", "c", 4), ("f", "z", 0), ("kept", "k", 0)]  # 10 waits for 9
     assert sorted(r.feature_id for r in replay.current(frame(spark, []), base).collect()) == ["f", "kept", "old"]
+
+
+def test_clashing_columns(spark):
+    """Columns named as the operators' own ones don't disturb them, and nulls in any column don't either."""
+    names = ("frontier", "salt", "block", "covered", "digest", "t", "kind", "rank", "reason", "since", "until", "there", "created", "deleted", "visible", "w", "state", "known", "count", "first")
+    extra = lambda df: df.selectExpr("*", *(f"'x' AS {n}" for n in names if n not in df.columns))
+    rows = [message(1, type="insert_feature", properties={"a": "1"}), message(2, seq=1, ts=1, type="insert_feature", properties={"a": " 1"}), message(3, type=None), message(4, property_key="a", property_value=None), *(message(9, seq=4, ts=4) | {c: None} for c in ("batch_id", "received_at", "document_id", "site_id", "seq", "ts", "feature_id"))]
+    df = extra(frame(spark, rows))
+    base = extra(frame(spark, [("d", "g", None, None), (None, None, None, None)], BASE_DDL))
+    runs = extra(frame(spark, [run("succeeded", 1, 1), (None,) * 9, run(None, None, None)], RUNS))
+    register = extra(frame(spark, [(None,) * 9], ELEMENTS))
+    assert [r.delivery_id for r in dedupe.surplus(df).collect()] == [2]
+    assert sorted(r.seq for r in ledger.remaining(df, runs).collect()) == [4]
+    assert orphans.orphans(df, base, register).count() == 0
+    assert [r.property_key for r in replay.current(df, base).collect()] == ["a"]
+    assert replay.current(df, base, flush=False).count() == 1
+    assert dedupe.deliver_once(df).count() > 0 and dedupe.seen_ranges(df).count() == 2
