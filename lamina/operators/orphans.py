@@ -14,7 +14,10 @@ from lamina.operators.messages import IDENTITY, messages
 
 #: Reference fields in the order in which they count.
 FIELDS = ("gen", "part_id", "ring_id", "vertex_id", "after_vertex_id")
-KEY = ("kind", "document_id", "feature_id", "gen_site", "gen_seq", "part", "ring", "vertex")
+#: A foreign key of eight columns as two independent 64-bit hashes: 16 bytes in each shuffle instead of five texts.
+#: Two different keys among 10^10 would meet with a probability of about 10^-19.
+KEY = ("k1", "k2")
+_PARTS = ("kind", "document_id", "feature_id", "gen_site", "gen_seq", "part", "ring", "vertex")
 NEEDS_RING = ("insert_vertex", "move_vertex", "delete_vertex", "remove_ring")
 NEEDS_VERTEX = ("move_vertex", "delete_vertex")
 
@@ -24,6 +27,10 @@ def _key(kind: str, part: Column | None = None, ring: Column | None = None, vert
     return [F.lit(kind).alias("kind"), (none if part is None else part).alias("part"), (none if ring is None else ring).alias("ring"), (none if vertex is None else vertex).alias("vertex")]
 
 
+def _hashed() -> list[Column]:
+    return [F.xxhash64(*_PARTS).alias("k1"), F.xxhash64(F.lit("second"), *reversed(_PARTS)).alias("k2")]
+
+
 def edits(rows: DataFrame) -> DataFrame:
     """One row per identity of type edit_geometry: t, its first received_at, and its references.
 
@@ -56,13 +63,12 @@ def references(edit: DataFrame) -> DataFrame:
         entry(3, c("action").isin(*NEEDS_VERTEX) & given("vertex_id"), "vertex", c("part_id"), c("ring_id"), c("vertex_id")),
         entry(4, (c("action") == "insert_vertex") & given("after_id"), "vertex", c("part_id"), c("ring_id"), c("after_id")),
     )
-    return edit.select(*IDENTITY, "t", "feature_id", "gen_site", "gen_seq", F.explode(F.array_compact(entries)).alias("e")).select(
-        *IDENTITY, "t", "feature_id", "gen_site", "gen_seq", "e.*"
-    )
+    each = edit.select(*IDENTITY, "t", "feature_id", "gen_site", "gen_seq", F.explode(F.array_compact(entries)).alias("e"))
+    return each.select(*IDENTITY, "t", "feature_id", "gen_site", "gen_seq", "e.*").select(*IDENTITY, "t", "rank", *_hashed())
 
 
 def parents(rows: DataFrame, base: DataFrame, elements: DataFrame) -> DataFrame:
-    """Everything that can be referred to, once: KEY, since (null: always there), until (null: still there).
+    """Everything that can be referred to, once: KEY (hashed), since (null: always there), until (null: still there).
 
     Rows written twice melt; of differing times the earliest counts.
     """
@@ -80,7 +86,7 @@ def parents(rows: DataFrame, base: DataFrame, elements: DataFrame) -> DataFrame:
         F.col("created_at").alias("since"), F.col("deleted_at").alias("until"),
     )
     every = generations.unionByName(bases).unionByName(parts)
-    return every.groupBy(*KEY).agg(F.min("since").alias("since"), F.min("until").alias("until"), F.lit(True).alias("there"))
+    return every.select(*_hashed(), "since", "until").groupBy(*KEY).agg(F.min("since").alias("since"), F.min("until").alias("until"), F.lit(True).alias("there"))
 
 
 def reason(t: Column) -> Column:
