@@ -110,12 +110,45 @@ COMMITTED = """committed AS (
 P5_FOUND = f"WITH {MESSAGES}, {current('m')}"
 P5_COMMITTED = f"WITH {MESSAGES}, {IDS}, {ISLANDS}, {COMMITTED}, {current('committed')}"
 
+#: Coordinates of a geometry as [part][ring][position][value].
+_C = "json_extract(g, '$.coordinates')"
+P3_FOUND = f"""WITH s AS (SELECT * FROM replica_snapshots QUALIFY row_number() OVER (PARTITION BY id) = 1),
+lists AS (
+  SELECT id, 'outbox_ops' AS op_list, outbox_ops AS ops FROM s UNION ALL SELECT id, 'retained_ops', retained_ops FROM s UNION ALL SELECT id, 'pending_ops', pending_ops FROM s
+),
+ops AS (SELECT id AS snapshot_id, op_list, unnest(range(len(ops))) AS op_no, unnest(ops) AS op FROM lists WHERE ops IS NOT NULL),
+texts AS (
+  SELECT snapshot_id, op_list, op_no, op.geometry_op.ring AS ring, CASE WHEN json_valid(op.geometry) THEN op.geometry END AS g, CASE WHEN json_valid(op.properties['owner']) THEN op.properties['owner'] END AS o FROM ops
+),
+shapes AS (
+  SELECT snapshot_id, op_list, op_no, CASE json_extract_string(g, '$.type')
+    WHEN 'Point' THEN [[[CAST({_C} AS DOUBLE[])]]] WHEN 'LineString' THEN [[CAST({_C} AS DOUBLE[][])]] WHEN 'Polygon' THEN [CAST({_C} AS DOUBLE[][][])]
+    WHEN 'MultiPoint' THEN list_transform(CAST({_C} AS DOUBLE[][]), lambda x: [[x]]) WHEN 'MultiLineString' THEN list_transform(CAST({_C} AS DOUBLE[][][]), lambda x: [x])
+    WHEN 'MultiPolygon' THEN CAST({_C} AS DOUBLE[][][][]) END AS parts
+  FROM texts WHERE json_type(g) = 'OBJECT' AND {_C} IS NOT NULL
+),
+positions AS (
+  SELECT snapshot_id, op_list, op_no, part_no, ring_no, unnest(range(len(ring))) AS item_no, unnest(ring) AS position FROM (
+    SELECT snapshot_id, op_list, op_no, part_no, unnest(range(len(part))) AS ring_no, unnest(part) AS ring FROM (
+      SELECT snapshot_id, op_list, op_no, unnest(range(len(parts))) AS part_no, unnest(parts) AS part FROM shapes))
+),
+owners AS (
+  SELECT snapshot_id, op_list, op_no, unnest(range(len(members))) AS part_no, unnest(members) AS member FROM (
+    SELECT *, CASE json_type(o) WHEN 'ARRAY' THEN json_extract(o, '$[*]') WHEN 'NULL' THEN [] ELSE [CAST(o AS JSON)] END AS members FROM texts WHERE o IS NOT NULL)
+)
+SELECT snapshot_id, op_list, op_no, 'geometry' AS field, part_no, ring_no, item_no FROM positions WHERE len(position) > 0
+UNION ALL SELECT snapshot_id, op_list, op_no, 'ring', 0, 0, unnest(range(len(ring))) FROM texts WHERE ring IS NOT NULL
+UNION ALL SELECT snapshot_id, op_list, op_no, 'owner', part_no, 0, 0 FROM owners
+UNION ALL SELECT snapshot_id, op_list, op_no, 'owner_share', part_no, 0, unnest(range(CAST(json_array_length(member, '$.shares') AS BIGINT))) FROM owners
+  WHERE json_type(member) = 'OBJECT' AND json_type(member, '$.shares') = 'ARRAY'"""
+
 SQL = {
     "p1_ranges": P1_RANGES,
     "p1_accepted": P1_ACCEPTED,
     "p2_found": P2_FOUND,
     "p2_marks": P2_MARKS,
     "p2_items": P2_ITEMS,
+    "p3_found": P3_FOUND,
     "p4_found": P4_FOUND,
     "p4_counts": P4_COUNTS,
     "p5_found": P5_FOUND,
