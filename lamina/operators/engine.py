@@ -365,7 +365,9 @@ class Engine:
         return seen[index][0]
 
     def geojson(self) -> str:
-        nested = [[[c for _, c in self.visible(ring)] for _, ring in rings if not ring.deleted] for _, part, rings in self.in_order() if not part.deleted or not self.multi]
+        """Exported GeoJSON. A removed ring of a point or line hides it from info() only: the part is nothing without it."""
+        shown = lambda ring: self.part_kind != "Polygon" or not ring.deleted
+        nested = [[[c for _, c in self.visible(ring)] for _, ring in rings if shown(ring)] for _, part, rings in self.in_order() if not part.deleted or not self.multi]
         return geojson.export(Shape(self.kind, self.dims, nested))
 
     def pending(self) -> list[dict]:

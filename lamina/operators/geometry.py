@@ -135,7 +135,7 @@ class Tables:
         kind = "struct<pos:int,ts:bigint,site_id:string,seq:bigint,exterior:boolean,part_type:string,dims:int>"
         removed = self.edits.where("action = 'remove_ring'").select(*RING, none.cast(kind).alias("made"), F.lit(True).alias("gone"))
         every = initial.unionByName(of_parts).unionByName(fresh).unionByName(removed).groupBy(*RING).agg(F.max("made").alias("made"), F.max("gone").alias("gone"))
-        return every.where("made IS NOT NULL").select(*RING, "made.*", (F.col("gone") & ~F.col("made.exterior") & (F.col("made.part_type") == "Polygon")).alias("deleted"))
+        return every.where("made IS NOT NULL").select(*RING, "made.*", (F.col("gone") & ~F.col("made.exterior")).alias("deleted"))
 
     def _vertices(self) -> DataFrame:
         """VERTEX, pos (null if inserted), after_id, ts, site_id, seq, coord, deleted, move (stamp or null), part_type.
@@ -244,12 +244,13 @@ def visible_vertices(t: Tables) -> DataFrame:
 def geometries(t: Tables) -> DataFrame:
     """(document_id, feature_id, type, dims, geometry): exported GeoJSON of each feature whose winner has a geometry.
 
-    Deleted parts and rings are skipped, a ring without vertices is an empty array; rings are closed.
+    Deleted parts and polygon rings are skipped, a ring without vertices is an empty array; rings are closed.
+    Points and lines are exported whether or not their ring was removed.
     """
     rank = [F.col("pos").isNull().alias("added"), "pos", "ts", "site_id", "seq"]
     coords = t.ordered().where("NOT deleted").groupBy(*RING).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "coord"))), lambda x: x.coord).alias("coords"))
     empty = F.array().cast("array<array<double>>")
-    rings = t.rings.where("NOT deleted").select(*RING, *rank).join(coords, list(RING), "left").withColumn("coords", F.coalesce("coords", empty))
+    rings = t.rings.where("NOT deleted OR part_type <> 'Polygon'").select(*RING, *rank).join(coords, list(RING), "left").withColumn("coords", F.coalesce("coords", empty))
     by_part = rings.groupBy(*PART).agg(F.transform(F.array_sort(F.collect_list(F.struct("added", "pos", "ts", "site_id", "seq", "coords"))), lambda x: x.coords).alias("rings"))
     no_rings = F.array().cast("array<array<array<double>>>")
     parts = t.parts.where("NOT deleted").select(*PART, *rank).join(by_part, list(PART), "left").withColumn("rings", F.coalesce("rings", no_rings))

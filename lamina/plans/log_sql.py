@@ -60,7 +60,7 @@ new_rings AS (
   WHERE c.action = 'add_ring' AND len(list_filter(geometry_op.ring, lambda x: len(x) <> dims)) = 0
 ),
 rings AS (
-  SELECT *, part_type = 'Polygon' AND NOT exterior AND EXISTS (SELECT 1 FROM cur c WHERE c.action = 'remove_ring' AND c.document_id = a.document_id AND c.feature_id = a.feature_id AND c.part_id = a.part_id AND c.ring_id = a.ring_id) AS deleted FROM (
+  SELECT *, NOT exterior AND EXISTS (SELECT 1 FROM cur c WHERE c.action = 'remove_ring' AND c.document_id = a.document_id AND c.feature_id = a.feature_id AND c.part_id = a.part_id AND c.ring_id = a.ring_id) AS deleted FROM (
     SELECT DISTINCT document_id, feature_id, 'part:' || p AS part_id, 'ring:' || p || ':' || r AS ring_id, CAST(r AS INTEGER) AS pos, CAST(NULL AS BIGINT) AS ts, r = 0 AND ends_with(type, 'Polygon') AS exterior, replace(type, 'Multi', '') AS part_type FROM v_initial
     UNION ALL SELECT DISTINCT document_id, feature_id, part_id, 'ring:' || site_id || ':' || seq || ':' || r, CAST(r AS INTEGER), NULL, r = 0 AND type = 'Polygon', type FROM v_fresh
     UNION ALL SELECT document_id, feature_id, part_id, ring_id, NULL, ts, false, 'Polygon' FROM new_rings WHERE len(list_distinct(list_transform(ring, lambda x: [x[1], x[2]]))) >= 3) a
