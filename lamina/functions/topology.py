@@ -212,10 +212,10 @@ def check_rings(rings: list[Ring]) -> None:
     layout = None
     for i, ring in enumerate(rings):
         name = f"interior ring {i}" if i else "exterior ring"
-        if len(ring) < 4:
+        if not isinstance(ring, list) or len(ring) < 4:
             raise InvalidTopology(f"{name} has fewer than 4 positions")
         for p in ring:
-            if len(p) not in (2, 3):
+            if not isinstance(p, (list, tuple)) or len(p) not in (2, 3):
                 raise InvalidTopology(f"{name} has a position without 2 or 3 values")
             layout = layout or len(p)
             if len(p) != layout:
@@ -290,7 +290,7 @@ def problem(text: str | None) -> str | None:
             check_rings(coordinates)
         else:
             check_polygons(coordinates)
-    except (InvalidTopology, ValueError, TypeError, IndexError) as e:
+    except (InvalidTopology, ValueError, TypeError) as e:
         return str(e) or type(e).__name__
     return None
 

@@ -81,8 +81,8 @@ def test_empty_tables(spark):
 
 def test_order_of_a_deep_chain(spark):
     """2,500 insertions, each after the one before."""
-    square = '{"type":"Polygon","coordinates":[[[0,0],[10,0],[10,10],[0,10],[0,0]]]}'
-    rows = [message(1, type="insert_feature", geometry=square)]
+    kite = '{"type":"Polygon","coordinates":[[[3,1],[8,2],[6,9],[-1,5],[3,1]]]}'
+    rows = [message(1, type="insert_feature", geometry=kite)]
     for n in range(2, 2502):
         rows.append(message(n, type="edit_geometry", gen=dict(site_id="s", seq=1), geometry_op=EDIT | dict(action="insert_vertex", part_id="part:0", ring_id="ring:0:0", after_vertex_id="init:0:0" if n == 2 else f"op:s:{n - 1}", coord=[float(n), 0.0])))
     rows.append(message(3000, type="edit_geometry", gen=dict(site_id="s", seq=1), geometry_op=EDIT | dict(action="insert_vertex", part_id="part:0", ring_id="ring:0:0", after_vertex_id="op:s:9999", coord=[0.0, 0.0])))
@@ -140,7 +140,7 @@ def test_stores(spark, tmp_path):
 
 def test_wire_files(spark, tmp_path):
     a = replica.Replica("doc", "a")
-    a.insert_feature("f", '{"type":"Point","coordinates":[1.50,2]}', {"n": 18446744073709551615, "t": "é<"})
+    a.insert_feature("f", '{"type":"Point","coordinates":[1.50,2]}', {"n": 73786976294838206465, "t": "é<"})
     a.edit_geometry("f", replica.move_vertex("part:0", "ring:0:0", "init:0:0", [3.0, 4.0]))
     text = wire.dump(a.delta_since({}), "delta")
     assert json.loads(text)["ops"][0]["geometry"] == {"type": "Point", "coordinates": [1.5, 2]}
