@@ -31,7 +31,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_items(spark: SparkSession, sf: str) -> DataFrame:
     """The pending work as items of the ledger."""
-    return ledger.work_items(p2_found(spark, sf))
+    return ledger.work_items(ledger.items(table(spark, sf, "op_messages"), table(spark, sf, "sync_runs")))
 
 
 def p2_marks(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,9 +6,10 @@ from datetime import datetime, timedelta
 
 import pytest
 from compare import spark_rows, sql_rows, views
+from pyspark.sql import functions as F
 
 from lamina.functions.canon import canonical_or_raw
-from lamina.operators import dedupe, ledger, nested, orphans, replay
+from lamina.operators import dedupe, ledger, nested, orphans, replay, sieve
 from lamina.plans import problems
 from lamina.plans.problems_sql import SQL
 from lamina.schemas import BASE_DDL, OP_FIELDS
@@ -93,8 +94,33 @@ def test_ranges_accept_once_and_merge(spark):
     assert offered == {3: True, 4: False, 5: False, 6: False, 7: True, 4098: False}
     grown = dedupe.merge_ranges(seen, dedupe.as_ranges(dedupe.numbers(then)))
     assert [(r.lo, r.hi) for r in dedupe.whole_ranges(grown).orderBy("lo").collect()] == [(1, 8), (4096, 4098)]
-    kept = dedupe.deliver_once(then.unionByName(frame(spark, [message(90, seq=None, ts=1), message(91, seq=None, ts=1), message(92, seq=0, ts=1)])), seen)
-    assert sorted(r.delivery_id for r in kept.collect()) == [21, 22, 23, 25, 90, 92]
+    kept = dedupe.deliver_once(then.unionByName(frame(spark, [message(90, seq=None, ts=1), message(91, seq=None, ts=1), message(92, seq=0, ts=1)])), seen, first)
+    assert sorted(r.delivery_id for r in kept.collect()) == [20, 21, 22, 23, 24, 25, 26, 90, 92]  # contents differ in ts
+    copies = frame(spark, [message(40, seq=3, ts=3), message(41, seq=8, ts=5), message(42, seq=8, ts=5), message(43, seq=8, ts=9), message(44, seq=9, ts=9)])
+    assert sorted(r.delivery_id for r in dedupe.deliver_once(copies, seen, first).collect()) == [43, 44]  # the others came in the former run
+
+
+def test_whole_ranges_over_stretches(spark):
+    """Ranges that span stretches, end at a border, and a producer with a gap after every number."""
+    rng, step = random.Random(2), 1 << dedupe.STRETCH_BITS
+    spans = [(1, 3 * step + 5), (3 * step + 7, 4 * step - 1), (4 * step, 4 * step), (4 * step + 2, 4 * step + 2), (6 * step, 7 * step - 1), (7 * step, 7 * step)]
+    rows = [("d", "s", lo, hi) for lo, hi in spans for lo, hi in ([(lo, hi)] if hi - lo < step else [(max(lo, b * step), min(hi, (b + 1) * step - 1)) for b in range(lo // step, hi // step + 1)])]
+    rows += [("d", "gappy", n * step // 2, n * step // 2) for n in range(1, 20)]
+    rng.shuffle(rows)
+    got = sorted(map(tuple, dedupe.whole_ranges(spark.createDataFrame(rows, "document_id string, site_id string, lo bigint, hi bigint")).collect()))
+    want = [("d", "gappy", n * step // 2, n * step // 2) for n in range(1, 20)] + [("d", "s", 1, 3 * step + 5), ("d", "s", 3 * step + 7, 4 * step), ("d", "s", 4 * step + 2, 4 * step + 2), ("d", "s", 6 * step, 7 * step)]
+    assert got == want
+
+
+def test_sieve_loses_nothing(spark):
+    keys = spark.range(0, 5000, 7).selectExpr("id AS a", "CAST(id % 3 AS STRING) AS b")
+    rows = spark.range(5000).selectExpr("id AS a", "CAST(id % 3 AS STRING) AS b", "'x' AS word")
+    for bits in (12, 25):
+        kept = sieve.sifted(rows, sieve.sieve(keys, ("a", "b"), bits), ("a", "b"), True, bits)
+        out = sieve.sifted(rows, sieve.sieve(keys, ("a", "b"), bits), ("a", "b"), False, bits)
+        assert kept.join(keys, ["a", "b"], "left_semi").count() == keys.count() and kept.count() + out.count() == 5000
+        assert kept.columns == rows.columns and kept.count() < 2000
+    assert sieve.sifted(rows, sieve.sieve(keys.where("false"), ("a", "b")), ("a", "b")).count() == 0
 
 
 # --- 2 ---
@@ -120,20 +146,85 @@ def test_remaining(spark):
     assert left(spark, [run("succeeded", 2, 3, [None, 8])] * 2) == [4, 5, 6, 7]
 
 
+def test_leases_of_the_log_expire(spark):
+    rows = frame(spark, [message(n, seq=n) for n in range(1, 5)])
+    runs = frame(spark, [run("succeeded", 1, 1), (1, 1, "d", "s", "running", T0 + timedelta(hours=2), None, 9, None)], RUNS)
+    at = lambda hours: F.lit(T0 + timedelta(hours=hours)).cast("timestamp_ntz")
+    seqs = lambda **k: sorted(r.seq for r in ledger.remaining(rows, runs, **k).collect())
+    assert seqs(now=at(2.5)) == [] and [r.state for r in ledger.items(rows, runs, at(2.5)).collect()] == ["leased"]
+    assert seqs(now=at(3.5)) == seqs() == [2, 3, 4]  # the lease of an hour is over
+    assert seqs(now=at(3.5), lease=timedelta(hours=9)) == []
+    late = runs.unionByName(frame(spark, [run("succeeded", 4, 4)], RUNS))
+    assert seqs(now=at(2.5)) == [] and ledger.remaining(rows, late, at(2.5)).count() == 0
+
+
+def outcome(book):
+    return {r.item_id: (r.state, r.fence, r.worker) for r in book.table().collect()}
+
+
 def test_work_ledger(spark):
     now = [100.0]
     book = ledger.WorkLedger(spark, "t", clock=lambda: now[0])
-    first = book.claim("item", "a", 10)
-    assert first and book.state("item") == "leased" and book.claim("item", "b", 10) is None
-    now[0] = 111  # the lease expires, another worker takes over with a higher token
-    assert book.state("item") == "pending"
-    second = book.claim("item", "b", 10)
-    assert second.fence == first.fence + 1 and second.path == first.path
+    named = lambda *ids: spark.createDataFrame([(i,) for i in ids], "item_id string")
+    assert outcome(book) == {}
+    book.add(named("x", "y"))
+    book.add(named("y", "z"))
+    first = book.claim("a", 10, named("x", "y"))
+    assert outcome(book) == {"x": ("leased", 1, "a"), "y": ("leased", 1, "a"), "z": ("pending", 0, "")}
+    assert [r.item_id for r in book.claim("b", 10).items.collect()] == ["z"]  # what is leased isn't leased again
+    now[0] = 111  # the leases expire, another worker takes x over with a higher token
+    second = book.claim("b", 10, named("x"))
+    assert [(r.item_id, r.fence) for r in second.items.collect()] == [("x", 2)]
+    assert first.items.where("item_id = 'x'").first().path != second.items.first().path
     with pytest.raises(ledger.StaleWriter):
-        book.complete(first)
+        book.complete(first)  # all or none: y isn't done either
+    assert outcome(book)["y"][0] == "pending"
     book.complete(second)
     book.complete(second)
-    assert book.state("item") == "done" and book.claim("item", "c", 10) is None
+    assert outcome(book)["x"] == ("done", 2, "b") and book.table().where("item_id = 'x'").first().path.endswith("/item_id=x/fence=2")
+    third = book.claim("c", 10)
+    assert sorted((r.item_id, r.fence) for r in third.items.collect()) == [("y", 2), ("z", 2)]
+    book.release(third)
+    assert {s for s, _, _ in outcome(book).values()} == {"done", "pending"}
+
+
+def test_takeover_between_check_and_publication_is_seen(spark):
+    """A worker reads the state, another takes over and only then the first publishes; and two claims race."""
+    now = [0.0]
+    book, rival = ledger.WorkLedger(spark, "race", clock=lambda: now[0]), ledger.WorkLedger(spark, "race", clock=lambda: now[0])
+    book.add(spark.createDataFrame([("x",)], "item_id string"))
+    lease = book.claim("a", 10)
+    now[0], publish, taken = 20.0, book._publish, []
+
+    def slow(version, events):
+        if not taken:
+            taken.append(rival.claim("b", 10))
+        return publish(version, events)
+
+    book._publish = slow
+    with pytest.raises(ledger.StaleWriter):
+        book.complete(lease)
+    now[0], first = 40.0, taken.pop()
+    late = book.claim("c", 10)  # rival claims in between and wins
+    assert late.items.count() == 0 and [(r.item_id, r.fence) for r in taken[0].items.collect()] == [("x", 3)]
+    with pytest.raises(ledger.StaleWriter):
+        rival.complete(first)
+    rival.complete(taken[0])
+    assert outcome(rival) == {"x": ("done", 3, "b")}
+
+
+def test_crash_between_output_and_publication(spark):
+    """The output of a worker that died before it published is never read; the retry's is, once."""
+    now = [0.0]
+    book = ledger.WorkLedger(spark, "crash", clock=lambda: now[0])
+    book.add(spark.createDataFrame([("x",)], "item_id string"))
+    for worker in ("dies", "lives"):
+        lease = book.claim(worker, 10)
+        spark.createDataFrame([(worker,)], "who string").write.mode("overwrite").parquet(lease.items.first().path)
+        now[0] += 20
+    book.complete(lease)
+    done = [r.path for r in book.table().where("state = 'done'").collect()]
+    assert [r.who for r in spark.read.parquet(*done).collect()] == ["lives"]
 
 
 # --- 3 ---
