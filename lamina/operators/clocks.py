@@ -15,7 +15,7 @@ STREAM = ("document_id", "site_id")
 
 def _ranges(known: DataFrame, compacted: DataFrame | None) -> DataFrame:
     """Whole disjoint ranges of known numbers per stream, what was compacted away included."""
-    spans = dedupe.whole_ranges(dedupe.as_ranges(known.select(*STREAM, "seq").distinct()))
+    spans = dedupe.whole_ranges(dedupe.as_ranges(known))
     if compacted is None:
         return spans
     base = compacted.where("seq > 0").groupBy(*STREAM).agg(F.max("seq").alias("base"))
@@ -47,11 +47,17 @@ def staged(known: DataFrame, compacted: DataFrame | None = None) -> DataFrame:
 
 
 def gaps(known: DataFrame) -> DataFrame:
-    """Ranges of numbers that are missing below a known one: (document_id, site_id, lo, hi)."""
-    w = Window.partitionBy(*STREAM).orderBy("lo")
-    before = F.coalesce(F.lag("hi").over(w), F.lit(0))
-    spans = _ranges(known, None).select(*STREAM, (before + 1).alias("from"), (F.col("lo") - 1).alias("to"))
-    return spans.where("from <= to").select(*STREAM, F.col("from").alias("lo"), F.col("to").alias("hi"))
+    """Ranges of numbers that are missing below a known one: (document_id, site_id, lo, hi).
+
+    The end of the range before is found within a stretch of numbers; a stretch's first range takes it from the stretch's
+    summary, so that a stream of many gaps isn't gathered.
+    """
+    spans = _ranges(known, None).withColumn("stretch", F.shiftright("lo", dedupe.STRETCH_BITS))
+    inside, over = Window.partitionBy(*STREAM, "stretch").orderBy("lo"), Window.partitionBy(*STREAM).orderBy("stretch")
+    ends = spans.groupBy(*STREAM, "stretch").agg(F.max("hi").alias("last")).select(*STREAM, "stretch", F.lag("last").over(over).alias("earlier"))
+    before = F.coalesce(F.lag("hi").over(inside), "earlier", F.lit(0))
+    between = spans.join(ends, [*STREAM, "stretch"]).select(*STREAM, (before + 1).alias("from"), (F.col("lo") - 1).alias("to"))
+    return between.where("from <= to").select(*STREAM, F.col("from").alias("lo"), F.col("to").alias("hi"))
 
 
 def applied(known: DataFrame, compacted: DataFrame | None = None) -> DataFrame:

@@ -70,11 +70,16 @@ def merge_ranges(*parts: DataFrame) -> DataFrame:
     return island.groupBy(*PRODUCER, "block", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
 
 
-def as_ranges(arrived: DataFrame) -> DataFrame:
-    """Seen ranges of the numbers of numbers(), cut at blocks."""
-    w = Window.partitionBy(*PRODUCER, "block").orderBy("seq")
-    cut = arrived.withColumn("block", block_of(F.col("seq"))).withColumn("island", F.col("seq") - F.row_number().over(w))
-    return cut.groupBy(*PRODUCER, "block", "island").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).drop("island")
+def as_ranges(known: DataFrame) -> DataFrame:
+    """Seen ranges of numbers (document_id, site_id, seq), repeats allowed, cut at blocks.
+
+    A block's numbers are one array of at most 2**BLOCK_BITS, built map-side, so that what is shuffled are blocks.
+    """
+    held = known.select(*PRODUCER, "seq", block_of(F.col("seq")).alias("block")).groupBy(*PRODUCER, "block").agg(F.array_sort(F.collect_set("seq")).alias("n"))
+    n, last = F.col("n"), F.size("n") - 1
+    lows = F.filter(n, lambda x, i: (i == 0) | (F.get(n, i - 1) != x - 1))
+    highs = F.filter(n, lambda x, i: (i == last) | (F.get(n, i + 1) != x + 1))
+    return held.select(*PRODUCER, "block", F.explode(F.arrays_zip(lows.alias("lo"), highs.alias("hi"))).alias("r")).select(*PRODUCER, "block", "r.lo", "r.hi")
 
 
 def whole_ranges(ranges: DataFrame) -> DataFrame:
@@ -100,7 +105,7 @@ def whole_ranges(ranges: DataFrame) -> DataFrame:
 
 def seen_ranges(rows: DataFrame) -> DataFrame:
     """The disjoint ranges of numbers seen per producer."""
-    return whole_ranges(as_ranges(numbers(rows)))
+    return whole_ranges(as_ranges(messages(rows)))
 
 
 def digests(rows: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Applying a change feed: commit-ordered replay of feature and property changes.
 
 A message is a transaction: an insert writes the feature and all properties it lists at
-once. Transactions commit in the total order (ts, site_id, seq). Those of one stream are
-complete only up to the first missing number; ``committed`` holds back what lies beyond
-such a gap. Keys don't conflict with each other, so each (document, feature, key) replays
-on its own: the newest commit of a key is its state, whatever order commits arrived in.
+once. Transactions commit in the total order (ts, site_id, seq). A stream's transactions are complete only
+up to its first missing number; what lies beyond is held. The missing transaction could belong anywhere after
+the last one before the gap, so a document shows its state only up to the least such time among
+its streams with a gap: the contiguous committed watermark. Keys don't conflict with each other, so each
+(document, feature, key) replays on its own: the newest commit of a key is its state, whatever order commits arrived in.
 At the end of a finite feed nothing more can arrive and held transactions are released.
 """
 
@@ -19,15 +20,39 @@ from lamina.schemas import OP_COLUMNS
 
 CHANGES = ("insert_feature", "delete_feature", "set_property", "delete_property")
 FEATURE = ("document_id", "feature_id")
+STREAM = ("document_id", "site_id")
 
 
-def committed(rows: DataFrame) -> DataFrame:
-    """Messages at or below their stream's contiguous committed watermark."""
-    op = messages(rows).select("document_id", *OP_COLUMNS)
-    mark = frontier_of(op.select("document_id", "site_id", "seq"))
-    salted = mark.select("document_id", "site_id", "frontier", F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<bigint>")).alias("salt"))
-    joined = op.withColumn("salt", F.pmod(F.col("seq"), F.lit(16))).join(salted, ["document_id", "site_id", "salt"])
-    return joined.where("seq <= frontier").drop("salt", "frontier")
+def watermarks(op: DataFrame) -> DataFrame:
+    """Per stream how far it may be shown: (document_id, site_id, frontier, until).
+
+    ``frontier`` is the number before the stream's first gap, ``until`` the ts up to which every transaction of the
+    document is known, null where no stream of it has a gap. ts rises within a stream, so what is missing is
+    newer than the last transaction before its gap.
+    """
+    mark = frontier_of(op.select(*STREAM, "seq")).select(*STREAM, "frontier", (F.col("highest") > F.col("frontier")).alias("gap"))
+    edge = op.select(*STREAM, "seq", "ts").join(mark.where("gap").select(*STREAM, F.col("frontier").alias("seq")), [*STREAM, "seq"], "left_semi").groupBy(*STREAM).agg(F.max("ts").alias("edge"))
+    gaps = mark.where("gap").join(edge, list(STREAM), "left").groupBy("document_id").agg(F.min(F.coalesce("edge", F.lit(0))).alias("until"))
+    return mark.drop("gap").join(gaps, "document_id", "left")
+
+
+def staged(rows: DataFrame) -> DataFrame:
+    """Changes of messages with ``held``: whether the committed watermark keeps the transaction back.
+
+    The join with watermarks, one row per stream, is salted by number so that a hot stream spreads.
+    """
+    op = messages(rows)
+    marks = watermarks(op).select(*STREAM, "frontier", "until", F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<bigint>")).alias("salt"))
+    changes = op.where(F.col("type").isin(*CHANGES)).select("document_id", *OP_COLUMNS).withColumn("salt", F.pmod(F.col("seq"), F.lit(16)))
+    met = changes.join(marks, [*STREAM, "salt"], "left")
+    held = (F.col("seq") > F.col("frontier")) | (F.col("ts") > F.col("until"))
+    return met.select("document_id", *OP_COLUMNS, F.coalesce(held, F.lit(False)).alias("held"))
+
+
+def replayed(rows: DataFrame, ended: bool) -> DataFrame:
+    """Transactions that the replay applies: those below the committed watermark and, the feed having ``ended``, those held."""
+    each = staged(rows)
+    return (each if ended else each.where("NOT held")).drop("held")
 
 
 def writes(op: DataFrame, base: DataFrame) -> DataFrame:
@@ -75,11 +100,12 @@ def current(rows: DataFrame, base: DataFrame, flush: bool = True) -> DataFrame:
     """Current properties of visible features: (document_id, feature_id, property_key, site_id, seq).
 
     The identity is that of the message that set the property; '' and 0 for the base. A property
-    outlives deletion and re-insertion of its feature. With ``flush`` the feed has ended and all
-    transactions count; without, only those below the contiguous committed watermark do.
-    Rows written twice, late and out-of-order messages make no difference.
+    outlives deletion and re-insertion of its feature. With ``flush`` the feed has ended: the state is that of the
+    committed transactions, overtaken per key by released ones that are newer. Without, only what lies
+    below the contiguous committed watermark is shown. Rows written twice, late and out-of-order messages
+    make no difference.
     """
-    op = messages(rows).where(F.col("type").isin(*CHANGES)) if flush else committed(rows).where(F.col("type").isin(*CHANGES))
+    op = replayed(rows, flush)
     seen = liveness(op, base).where("visible").select(*FEATURE)
     alive = properties(op, base).where(~F.col("gone"))
     return alive.join(seen, list(FEATURE), "left_semi").select(*FEATURE, "property_key", "site_id", "seq")

@@ -103,9 +103,17 @@ alive AS (SELECT document_id, feature_id FROM life WHERE CASE WHEN deleted IS NU
 SELECT won.document_id, won.feature_id, won.property_key, won.site_id, won.seq FROM won SEMI JOIN alive USING (document_id, feature_id)"""
 
 
-COMMITTED = """committed AS (
-  SELECT m.* FROM m JOIN (SELECT document_id, site_id, max(hi) AS frontier FROM islands WHERE lo = 1 GROUP BY document_id, site_id) f
-    ON m.document_id = f.document_id AND m.site_id = f.site_id WHERE m.seq <= f.frontier
+COMMITTED = """marks2 AS (
+  SELECT document_id, site_id, coalesce(max(hi) FILTER (WHERE lo = 1), 0) AS frontier, max(hi) AS highest FROM islands GROUP BY document_id, site_id
+),
+gaps AS (
+  SELECT document_id, min(edge) AS until FROM (
+    SELECT k.document_id, k.site_id, coalesce(max(m.ts), 0) AS edge FROM marks2 k LEFT JOIN m ON m.document_id = k.document_id AND m.site_id = k.site_id AND m.seq = k.frontier
+    WHERE k.highest > k.frontier GROUP BY k.document_id, k.site_id) GROUP BY document_id
+),
+committed AS (
+  SELECT m.* FROM m JOIN marks2 f ON m.document_id = f.document_id AND m.site_id = f.site_id LEFT JOIN gaps g ON g.document_id = m.document_id
+  WHERE m.seq <= f.frontier AND (g.until IS NULL OR m.ts <= g.until)
 )"""
 P5_FOUND = f"WITH {MESSAGES}, {current('m')}"
 P5_COMMITTED = f"WITH {MESSAGES}, {IDS}, {ISLANDS}, {COMMITTED}, {current('committed')}"

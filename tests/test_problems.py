@@ -350,6 +350,10 @@ def test_replay(spark):
     assert got == [("f", "a", "s", 2), ("f", "c", "s", 4), ("f", "late", "s", 10), ("f", "z", "", 0), ("kept", "k", "", 0)]
     held = sorted((r.feature_id, r.property_key, r.seq) for r in replay.current(df, base, flush=False).collect())
     assert held == [("f", "a", 2), ("f", "c", 4), ("f", "z", 0), ("kept", "k", 0)]  # 10 waits for 9
+    # Another site's newer change may come after the missing 9, so it waits; the older one can't.
+    other = frame(spark, [message(20, site_id="t", seq=1, ts=2, property_key="early", feature_id="kept"), message(21, site_id="t", seq=2, ts=30, property_key="new", feature_id="kept"), message(22, document_id="e", seq=1, ts=90, type="insert_feature", properties={"k": "1"})])
+    held = sorted((r.document_id, r.feature_id, r.property_key, r.seq) for r in replay.current(df.unionByName(other), base, flush=False).collect())
+    assert held == [("d", "f", "a", 2), ("d", "f", "c", 4), ("d", "f", "z", 0), ("d", "kept", "early", 1), ("d", "kept", "k", 0), ("e", "f", "k", 1)]
     assert sorted(r.feature_id for r in replay.current(frame(spark, []), base).collect()) == ["f", "kept", "old"]
 
 
