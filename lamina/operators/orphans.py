@@ -11,13 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.operators.messages import IDENTITY, messages
+from lamina.operators.sieve import sieve, sifted
 
 #: Reference fields in the order in which they count.
 FIELDS = ("gen", "part_id", "ring_id", "vertex_id", "after_vertex_id")
-#: A foreign key of eight columns as two independent 64-bit hashes: 16 bytes in each shuffle instead of five texts.
-#: Two different keys among 10^10 would meet with a probability of about 10^-19.
-KEY = ("k1", "k2")
-_PARTS = ("kind", "document_id", "feature_id", "gen_site", "gen_seq", "part", "ring", "vertex")
+#: A foreign key: what it names and all that holds it.
+KEY = ("kind", "document_id", "feature_id", "gen_site", "gen_seq", "part", "ring", "vertex")
 NEEDS_RING = ("insert_vertex", "move_vertex", "delete_vertex", "remove_ring")
 NEEDS_VERTEX = ("move_vertex", "delete_vertex")
 
@@ -27,10 +26,6 @@ def _key(kind: str, part: Column | None = None, ring: Column | None = None, vert
     return [F.lit(kind).alias("kind"), (none if part is None else part).alias("part"), (none if ring is None else ring).alias("ring"), (none if vertex is None else vertex).alias("vertex")]
 
 
-def _hashed() -> list[Column]:
-    return [F.xxhash64(*_PARTS).alias("k1"), F.xxhash64(F.lit("second"), *reversed(_PARTS)).alias("k2")]
-
-
 def edits(rows: DataFrame) -> DataFrame:
     """One row per identity of type edit_geometry: t, its first received_at, and its references.
 
@@ -64,11 +59,11 @@ def references(edit: DataFrame) -> DataFrame:
         entry(4, (c("action") == "insert_vertex") & given("after_id"), "vertex", c("part_id"), c("ring_id"), c("after_id")),
     )
     each = edit.select(*IDENTITY, "t", "feature_id", "gen_site", "gen_seq", F.explode(F.array_compact(entries)).alias("e"))
-    return each.select(*IDENTITY, "t", "feature_id", "gen_site", "gen_seq", "e.*").select(*IDENTITY, "t", "rank", *_hashed())
+    return each.select(*IDENTITY, "t", "feature_id", "gen_site", "gen_seq", "e.*")
 
 
 def parents(rows: DataFrame, base: DataFrame, elements: DataFrame) -> DataFrame:
-    """Everything that can be referred to, once: KEY (hashed), since (null: always there), until (null: still there).
+    """Everything that can be referred to, once: KEY, since (null: always there), until (null: still there).
 
     Rows written twice melt; of differing times the earliest counts.
     """
@@ -86,7 +81,7 @@ def parents(rows: DataFrame, base: DataFrame, elements: DataFrame) -> DataFrame:
         F.col("created_at").alias("since"), F.col("deleted_at").alias("until"),
     )
     every = generations.unionByName(bases).unionByName(parts)
-    return every.select(*_hashed(), "since", "until").groupBy(*KEY).agg(F.min("since").alias("since"), F.min("until").alias("until"), F.lit(True).alias("there"))
+    return every.groupBy(*KEY).agg(F.min("since").alias("since"), F.min("until").alias("until"), F.lit(True).alias("there"))
 
 
 def reason(t: Column) -> Column:
@@ -99,13 +94,15 @@ def orphans(rows: DataFrame, base: DataFrame, elements: DataFrame) -> DataFrame:
 
     Only the first orphan field of an edit counts. Distinct keys (combined before the shuffle, with
     the span of times at which they're used) are joined with their parents once; keys that are in
-    order over their whole span drop out there, so what is joined back are a few percent.
+    order over their whole span drop out there. A fixed-size filter of the others lets few references
+    through to the join back. Keys are compared as they are written, nowhere by hash.
     """
     refs = references(edits(rows))
     used = refs.groupBy(*KEY).agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
     checked = used.join(parents(rows, base, elements), list(KEY), "left")
     suspects = checked.where(reason(F.col("first_t")).isNotNull() | reason(F.col("last_t")).isNotNull()).drop("first_t", "last_t")
-    bad = refs.join(suspects, list(KEY)).withColumn("reason", reason(F.col("t"))).where("reason IS NOT NULL")
+    near = sifted(refs, sieve(suspects, KEY), KEY)
+    bad = near.join(suspects, list(KEY)).withColumn("reason", reason(F.col("t"))).where("reason IS NOT NULL")
     first = bad.groupBy(*IDENTITY).agg(F.min(F.struct("rank", "reason", "t")).alias("o"))
     names = F.array(*[F.lit(f) for f in FIELDS])
     return first.select(*IDENTITY, F.element_at(names, F.col("o.rank") + 1).alias("ref_field"), F.col("o.reason").alias("reason"), F.date_format("o.t", "yyyy-MM").alias("period"))
