@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 import struct
 from collections.abc import Iterator
 from typing import Any
@@ -35,12 +36,53 @@ _ESCAPES = str.maketrans({"<": "\\u003c", ">": "\\u003e", "&": "\\u0026", " ":
 _quote = json.encoder.encode_basestring
 
 
+#: One piece of JSON text: a mark, a string, a number or a word.
+_PIECE = re.compile(r'[ \t\n\r]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)|(true|false|null))')
+_WORDS = {"true": True, "false": False, "null": None}
+
+
 def loads(text: str) -> Any:
-    """Parse JSON; numbers come back as Lexeme. Raises ValueError (also on deep nesting)."""
+    """Parse JSON, however deeply it is nested; numbers come back as Lexeme. Raises ValueError."""
     try:
         return _DECODER.decode(text)
     except RecursionError:
-        raise ValueError("nested too deeply") from None
+        return deep_loads(text)
+
+
+def deep_loads(text: str) -> Any:
+    """loads() with a stack of its own: slower, for texts that are nested too deeply for the decoder."""
+    root: list[Any] = []
+    holder: Any = root
+    stack: list[Any] = []
+    at, want, key = 0, "value", ""
+    while (m := _PIECE.match(text, at)) is not None:
+        mark, string, number, word = m.groups()
+        at = m.end()
+        if mark and (mark == "]" and want == "first" or mark == "}" and want == "first key" or want == "next" and mark == ("]" if isinstance(holder, list) else "}") and stack):
+            holder, want = stack.pop(), "next"
+        elif want in ("value", "first"):
+            value = [] if mark == "[" else {} if mark == "{" else json.loads(string) if string else Lexeme(number) if number else _WORDS.get(word, mark)
+            if isinstance(value, str) and mark:
+                raise ValueError(f"a value is expected at {m.start()}")
+            if isinstance(holder, list):
+                holder.append(value)
+            else:
+                holder[key] = value
+            want = "next"
+            if mark:
+                stack.append(holder)
+                holder, want = value, "first" if mark == "[" else "first key"
+        elif want in ("key", "first key") and string:
+            key, want = json.loads(string), "colon"
+        elif want == "colon" and mark == ":":
+            want = "value"
+        elif want == "next" and mark == "," and stack:
+            want = "value" if isinstance(holder, list) else "key"
+        else:
+            raise ValueError(f"unexpected text at {m.start()}")
+    if stack or want != "next" or text[at:].strip(" \t\n\r"):
+        raise ValueError(f"unexpected text at {at}")
+    return root[0]
 
 
 def quoted(text: str) -> str:
@@ -50,6 +92,40 @@ def quoted(text: str) -> str:
 
 def write(value: Any) -> str:
     """Canonical text of a parsed value: sorted members, no spaces, number lexemes kept."""
+    try:
+        return _write(value)
+    except RecursionError:
+        return _deep_write(value)
+
+
+def _members(value: dict) -> list[str]:
+    return sorted(value, key=lambda k: k.encode("utf-8", "surrogatepass"))
+
+
+def _deep_write(value: Any) -> str:
+    """write() with a stack of its own; texts on the stack are written as they are."""
+    out: list[str] = []
+    todo: list[tuple[bool, Any]] = [(False, value)]
+    while todo:
+        ready, v = todo.pop()
+        if ready:
+            out.append(v)
+        elif isinstance(v, list) and v:
+            parts: list[tuple[bool, Any]] = [(True, "[")]
+            for i, x in enumerate(v):
+                parts += [(True, ","), (False, x)] if i else [(False, x)]
+            todo += [(True, "]"), *reversed(parts)]
+        elif isinstance(v, dict) and v:
+            parts = []
+            for i, k in enumerate(_members(v)):
+                parts += [(True, f"{',' if i else '{'}{quoted(k)}:"), (False, v[k])]
+            todo += [(True, "}"), *reversed(parts)]
+        else:
+            out.append(_write(v))
+    return "".join(out)
+
+
+def _write(value: Any) -> str:
     if isinstance(value, Lexeme):
         return str(value)
     if value is None:
@@ -65,8 +141,8 @@ def write(value: Any) -> str:
     if isinstance(value, int):
         return str(value)
     if isinstance(value, list):
-        return "[" + ",".join([write(x) for x in value]) + "]"
-    return "{" + ",".join([f"{quoted(k)}:{write(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-8", "surrogatepass"))]) + "}"
+        return "[" + ",".join([_write(x) for x in value]) + "]"
+    return "{" + ",".join([f"{quoted(k)}:{_write(value[k])}" for k in _members(value)]) + "}"
 
 
 def canonical(text: str | None) -> str | None:

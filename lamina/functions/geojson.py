@@ -145,8 +145,13 @@ def parse(text: str) -> Shape:
     """Shape of a GeoJSON geometry text; raises InvalidGeometry or UnsupportedGeometry."""
     try:
         value = _DECODER.decode(text)
-    except (ValueError, RecursionError, OverflowError) as e:
+    except (ValueError, OverflowError) as e:
         raise InvalidGeometry(str(e)) from None
+    except RecursionError:  # some foreign member is nested deeply
+        try:
+            value = loads(text)
+        except ValueError as e:
+            raise InvalidGeometry(str(e)) from None
     return shape_of(value)
 
 

@@ -136,7 +136,7 @@ def contested(rows: DataFrame) -> DataFrame:
     arrived = numbers(rows)
     ranges = taken(arrived).select(*[F.col(c).alias(f"r_{c}") for c in (*PRODUCER, "block", "lo", "hi", "firsts", "again")])
     needed = list(dict.fromkeys([*IDENTITY, "delivery_id", *OP_COLUMNS]))
-    offers = sifted(messages(rows).select(*needed), sieve(arrived.where("deliveries > 1"), IDENTITY), IDENTITY).withColumn("block", block_of(F.col("seq")))
+    offers = sifted(messages(rows).select(*needed), sieve(arrived.where("deliveries > 1 AND first_delivery IS NOT NULL"), IDENTITY), IDENTITY).withColumn("block", block_of(F.col("seq")))
     same = [F.col(c) == F.col(f"r_{c}") for c in (*PRODUCER, "block")]
     met = offers.join(ranges, [*same, F.col("seq").between(F.col("r_lo"), F.col("r_hi"))])
     at = (F.col("seq") - F.col("r_lo")).cast("int")

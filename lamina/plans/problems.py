@@ -44,14 +44,24 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return nested.items(table(spark, sf, "replica_snapshots"))
 
 
+def _parsed(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.parse(table(spark, sf, "replica_snapshots"))
+
+
+def p3_occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    """Every nested text with the root of its tree, or why it has none; counted per snapshot list and field."""
+    rows = _parsed(spark, sf).groupBy("snapshot_id", "op_list", "field").agg(F.count("root").alias("trees"), F.countDistinct("root").alias("distinct_trees"), F.count("error").alias("broken"))
+    return rows
+
+
 def p3_objects(spark: SparkSession, sf: str) -> DataFrame:
-    """Each distinct nested object once, with the number of its occurrences as a root."""
-    return nested.objects(nested.parse(table(spark, sf, "replica_snapshots")))
+    """Each distinct nested object and array once, with its occurrences as a root and below distinct parents."""
+    return nested.objects(_parsed(spark, sf))
 
 
 def p3_bridges(spark: SparkSession, sf: str) -> DataFrame:
-    """Parent–child rows between distinct objects."""
-    return nested.bridges(nested.parse(table(spark, sf, "replica_snapshots")))
+    """Parent–child rows between distinct objects, scalars included."""
+    return nested.bridges(_parsed(spark, sf))
 
 
 def _orphans(spark: SparkSession, sf: str) -> DataFrame:

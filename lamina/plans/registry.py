@@ -10,7 +10,7 @@ from lamina.plans import log, log_sql, problems, problems_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 PROBLEMS = (
-    "p1_found", "p1_ranges", "p1_accepted", "p2_found", "p2_items", "p2_marks", "p3_found", "p3_objects", "p3_bridges",
+    "p1_found", "p1_ranges", "p1_accepted", "p2_found", "p2_items", "p2_marks", "p3_found", "p3_occurrences", "p3_objects", "p3_bridges",
     "p4_found", "p4_counts", "p5_found", "p5_committed",
 )
 LOG = (

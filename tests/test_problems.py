@@ -8,7 +8,7 @@ import pytest
 from compare import spark_rows, sql_rows, views
 from pyspark.sql import functions as F
 
-from lamina.functions.canon import canonical_or_raw
+from lamina.functions.canon import canonical, canonical_or_raw, loads, quoted
 from lamina.operators import dedupe, ledger, nested, orphans, replay, sieve
 from lamina.plans import problems
 from lamina.plans.problems_sql import SQL
@@ -290,10 +290,66 @@ def test_items_edge_cases(spark):
     assert nested.items(df.where("false")).count() == 0
 
 
+def snapshot_rows(spark, rows):
+    """Snapshots (id, clock, texts of properties.owner of the pending ops)."""
+    op = dict(type="x", site_id="s", seq=1, ts=1, feature_id="f", geometry=None, properties=None, property_key=None, property_value=None, gen=None, geometry_op=None)
+    op_type = "struct<" + ", ".join(f"{c.split(' ', 1)[0]}:{c.split(' ', 1)[1]}" for c in OP_FIELDS.split(", ")) + ">"
+    schema = "id string, clock bigint, " + ", ".join(f"{n} array<{op_type}>" for n in nested.OP_LISTS)
+    return spark.createDataFrame([(i, c, None, [], [op | dict(properties={"owner": o}) for o in owners]) for i, c, owners in rows], schema)
+
+
 def test_equal_objects_are_stored_once(spark):
-    a, b = nested.tree({"x": [[1], [1]], "y": {"z": []}}, False), nested.tree({"y": {"z": []}, "x": [[1], [1]]}, False)
-    assert a["root"] == b["root"]
-    assert len([e for e in a["edges"] if e["name"] is None]) == 3  # x holds two equal arrays, which are kept once
+    a, b = nested.tree(loads('{"x": [[1], [1]], "y": {"z": []}}'), False), nested.tree(loads('{"y": {"z": []}, "x": [[1], [1]]}'), False)
+    assert a[0] == b[0]
+    assert sorted((kind, len(children)) for kind, children in a[3].values()) == [("array", 0), ("array", 1), ("array", 2), ("object", 1), ("object", 2)]
+    parsed = nested.parse(snapshot_rows(spark, [("a", 1, ['{"n": [1, {"k": 2}]}', '[{"k":2}]', "{", "7"]), ("b", 1, ['[ {"k":2}]'])]))
+    got = sorted((r.kind, r.members, r.as_root, r.as_child) for r in nested.objects(parsed).collect())
+    assert got == [("array", 1, 2, 0), ("array", 2, 0, 1), ("object", 1, 0, 2), ("object", 1, 1, 0)]
+    assert [(r.error is None, r.value) for r in parsed.where("root IS NULL OR value IS NOT NULL").orderBy("op_no").collect()] == [(False, None), (True, "7")]
+
+
+def test_copies_and_nameless_snapshots(spark):
+    rows = snapshot_rows(spark, [("a", 1, ["1"]), ("a", 2, ["[1,2]"]), ("a", 2, ["[1,2]"]), (None, 1, ["1"]), (None, 1, ["2"])])
+    got = sorted((r.snapshot_id or "", r.part_no) for r in nested.items(rows).collect())
+    assert got == [("", 0), ("", 0), ("a", 0), ("a", 1)]  # the newest copy counts; each nameless one is a record of its own
+
+
+def rebuilt(root, kind, value, below):
+    """The canonical text of a tree from its bridge rows, without recursion."""
+    out, todo = [], [(root, kind, value)]
+    while todo:
+        own, kind, text = todo.pop()
+        if text is not None:
+            out.append(text)
+            continue
+        first, last = "{}" if kind == "object" else "[]"
+        parts = [(None, None, first)]
+        for i, (name, child, child_kind, scalar) in enumerate(below.get(own, ())):
+            parts += [(None, None, ("," if i else "") + (f"{quoted(name)}:" if kind == "object" else "")), (child, child_kind, scalar)]
+        todo += reversed([*parts, (None, None, last)])
+    return "".join(out)
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
+def test_tables_give_every_text_again(spark, sf):
+    deep = '{"shares":[{"a":' * 5000 + '"bottom"' + "}]}" * 5000  # 10,000 levels
+    snapshots = spark.read.parquet(f"{sf}/replica_snapshots.parquet")
+    extra = snapshot_rows(spark, [("deep", 1, [deep, '{"é":{"":[1.50,null,[],{}]},"a":true}'])])
+    for table in (snapshots, extra):
+        parsed = nested.parse(table)
+        below = {}
+        for r in nested.bridges(parsed).orderBy("parent", "ordinal").collect():
+            below.setdefault(bytes(r.parent), []).append((r.name, r.child and bytes(r.child), r.child_kind, r.value))
+        texts = {(r.snapshot_id, r.op_list, r.op_no, r.field): r.body for r in nested.occurrences(table).collect()}
+        rows = parsed.drop("nodes").collect()
+        assert len(rows) == len(texts) and any(r.root for r in rows)
+        for r in rows:
+            body = texts[r.snapshot_id, r.op_list, r.op_no, r.field]
+            if r.root is not None:
+                assert rebuilt(bytes(r.root), r.kind, r.value, below) == canonical(body)
+            else:
+                assert r.error
+    assert nested.items(extra).where("field = 'owner_share'").count() == 1
 
 
 # --- 4 ---
