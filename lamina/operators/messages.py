@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.operators.sieve import sieve, sifted
 from lamina.schemas import COUNTER_BOUND, OP_COLUMNS
 
 #: A character that isn't white space in the Unicode sense (property White_Space); the same text serves SQL engines with RE2.
@@ -40,13 +41,19 @@ def messages(rows: DataFrame) -> DataFrame:
 def first_deliveries(rows: DataFrame) -> DataFrame:
     """The op log: of each identity the delivery with the smallest delivery_id, whole.
 
-    min_by keeps one struct per identity in a map-side combine, so that an identity
-    delivered millions of times reaches the shuffle as one row per map task.
-    Equal delivery_ids (not expected) resolve to either copy.
+    Which identities came again is a count over the identity columns, combined map-side. A fixed-size
+    filter of them splits the rows: those of identities that came once, most of them, go on without a
+    shuffle; only the others meet their first delivery. Both branches read just the columns
+    that are used later. delivery_ids are unique; null ones come after all others.
     """
-    payload = [c for c in OP_COLUMNS if c not in IDENTITY]
-    picked = messages(rows).groupBy(*IDENTITY).agg(F.min_by(F.struct("delivery_id", "received_at", *payload), "delivery_id").alias("first"))
-    return picked.select(*IDENTITY, "first.*")
+    op = messages(rows).select("delivery_id", "received_at", "document_id", *OP_COLUMNS)
+    firsts = op.groupBy(*IDENTITY).agg(F.min("delivery_id").alias("first_delivery"), F.count(F.lit(1)).alias("deliveries")).where("deliveries > 1")
+    # The condition always holds; it keeps the aggregate as the join below needs it, so that one shuffle serves both.
+    again = sieve(firsts.where("first_delivery IS NOT NULL OR deliveries > 0"), IDENTITY)
+    taken = firsts.select(*[F.col(c).alias(f"f_{c}") for c in IDENTITY], "first_delivery")
+    met = sifted(op, again, IDENTITY).join(taken, [F.col(c) == F.col(f"f_{c}") for c in IDENTITY], "left")
+    chosen = met.where(F.col("f_seq").isNull() | F.col("delivery_id").eqNullSafe(F.col("first_delivery"))).select(*op.columns)
+    return sifted(op, again, IDENTITY, keep=False).unionByName(chosen)
 
 
 def stamp(ts: str = "ts", site: str = "site_id", seq: str = "seq") -> Column:
