@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators.messages import IDENTITY, messages
 from lamina.operators.sieve import sieve, sifted
+from lamina.session import cut
 
 #: Reference fields in the order in which they count.
 FIELDS = ("gen", "part_id", "ring_id", "vertex_id", "after_vertex_id")
@@ -100,7 +101,8 @@ def orphans(rows: DataFrame, base: DataFrame, elements: DataFrame) -> DataFrame:
     refs = references(edits(rows))
     used = refs.groupBy(*KEY).agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
     checked = used.join(parents(rows, base, elements), list(KEY), "left")
-    suspects = checked.where(reason(F.col("first_t")).isNotNull() | reason(F.col("last_t")).isNotNull()).drop("first_t", "last_t")
+    # Few and light rows, used twice below: written once, or both uses would shuffle all keys.
+    suspects = cut(checked.where(reason(F.col("first_t")).isNotNull() | reason(F.col("last_t")).isNotNull()).drop("first_t", "last_t"))
     near = sifted(refs, sieve(suspects, KEY), KEY)
     bad = near.join(suspects, list(KEY)).withColumn("reason", reason(F.col("t"))).where("reason IS NOT NULL")
     first = bad.groupBy(*IDENTITY).agg(F.min(F.struct("rank", "reason", "t")).alias("o"))
