@@ -25,8 +25,9 @@ def _no_constant(name: str) -> Any:
     raise ValueError(f"{name} is not JSON")
 
 
-#: For geometries numbers are doubles, so the decoder may make them.
-_DECODER = json.JSONDecoder(parse_constant=_no_constant)
+#: For geometries numbers are doubles, so the decoder makes them.
+_DECODER = json.JSONDecoder(parse_int=float, parse_constant=_no_constant)
+_ENCODER = json.JSONEncoder(separators=(",", ":"))
 #: Arrays around a position, by type.
 LEVELS = {"Point": 0, "LineString": 1, "MultiPoint": 1, "Polygon": 2, "MultiLineString": 2, "MultiPolygon": 3}
 
@@ -75,10 +76,12 @@ def line(value: Any) -> list[Position]:
     """Positions of an array; checked all at once, and one by one only where something is odd."""
     values = _list(value, "coordinates")
     try:
-        plain = {2, 3}.issuperset(map(len, values)) and _NUMBERS.issuperset(map(type, chain.from_iterable(values)))
-        out = [tuple(map(float, p)) for p in values] if plain else None
-        if out is not None and math.isfinite(sum(map(sum, out))):
-            return out
+        flat = list(chain.from_iterable(values))
+        kinds = set(map(type, flat))
+        if {2, 3}.issuperset(map(len, values)) and kinds <= _NUMBERS and {list}.issuperset(map(type, values)):
+            out = list(map(tuple, values)) if kinds <= {float} else [tuple(map(float, p)) for p in values]
+            if math.isfinite(sum(flat) if kinds <= {float} else sum(map(sum, out))):
+                return out
     except TypeError:
         pass
     return [position(p) for p in values]
@@ -135,7 +138,7 @@ def shape_of(value: Any) -> Shape:
         parts = [polygon(v) for v in _list(raw, "coordinates")]
     if part_type(kind) == "LineString" and any(len(p[0]) < 2 for p in parts):
         raise InvalidGeometry("a line has at least 2 positions")
-    dims = {len(p) for part in parts for ring in part for p in ring}
+    dims = set(map(len, chain.from_iterable(chain.from_iterable(parts))))
     if len(dims) > 1:
         raise InvalidGeometry("XY and XYZ positions are mixed")
     return Shape(kind, dims.pop() if dims else 2, parts)
@@ -156,12 +159,19 @@ def parse(text: str) -> Shape:
 
 
 def coordinates_text(value: Any) -> str:
-    """Nested lists of positions as JSON; values are floats."""
+    """Nested lists of positions as JSON; values are floats. Where no value needs an exponent the encoder writes all at once."""
+    text = _ENCODER.encode(value)
+    if "e" not in text and "N" not in text and "I" not in text:
+        return text.replace(".0,", ",").replace(".0]", "]") if text[0] == "[" else float_text(value)
+    return _coordinates_text(value)
+
+
+def _coordinates_text(value: Any) -> str:
     if isinstance(value, float):
         return float_text(value)
     if value and isinstance(value[0], float):
         return "[" + ",".join(map(float_text, value)) + "]"
-    return "[" + ",".join([coordinates_text(v) for v in value]) + "]"
+    return "[" + ",".join([_coordinates_text(v) for v in value]) + "]"
 
 
 def export(shape: Shape) -> str:

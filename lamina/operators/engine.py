@@ -85,7 +85,11 @@ class Engine:
     @classmethod
     def parse(cls, text: str) -> Engine:
         """From GeoJSON; raises InvalidGeometry or UnsupportedGeometry."""
-        s = geojson.parse(text)
+        return cls.of(geojson.parse(text))
+
+    @classmethod
+    def of(cls, s: Shape) -> Engine:
+        """From a parsed shape."""
         parts = {}
         for p, rings in enumerate(s.parts):
             made = {f"ring:{p}:{r}": Ring(r, None, part_type(s.type) == "Polygon" and r == 0, _chain([f"init:{r}:{k}" for k in range(len(c))], c)) for r, c in enumerate(rings)}

@@ -3,7 +3,8 @@
 The newest move of each vertex is aggregated first, with a map-side combine, so that what
 reaches a feature's group is bounded by its elements rather than by how often they were
 moved. The group then holds the feature's generations, its creations and deletions, and one
-position per moved vertex; their order doesn't matter. The tables of geometry.py give the
+position per moved vertex; their order doesn't matter. Only a geometry that grew (vertices, rings or
+parts inserted or removed) is built element by element; others are changed in place. The tables of geometry.py give the
 same state element by element, without gathering a feature.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lamina.errors import InvalidGeometry, UnsupportedGeometry
 from lamina.functions import geojson
-from lamina.functions.geojson import feature_json
+from lamina.functions.geojson import Shape, feature_json, part_type
 from lamina.functions.topology import polygon_repair
 from lamina.operators import replay
 from lamina.operators.engine import Engine, stamp_of
@@ -25,6 +26,29 @@ SCHEMA = "document_id string, feature_id string, type string, dims int, geometry
 _ARROW = pa.schema([("document_id", pa.string()), ("feature_id", pa.string()), ("type", pa.string()), ("dims", pa.int32()), ("geometry", pa.string())])
 
 
+def _index(vertex: str, prefix: str) -> int:
+    """Place of an initial vertex in its ring, from its id; -1 for other ids."""
+    digits = vertex[len(prefix) :] if vertex.startswith(prefix) else ""
+    return int(digits) if digits.isascii() and digits.isdigit() and (digits[0] != "0" or digits == "0") else -1
+
+
+def _in_place(s: Shape, deletes: list[tuple], moves: list[tuple]) -> str:
+    """Exported GeoJSON of a geometry whose vertices were only moved and deleted: rings keep their order, so nothing is walked."""
+    rings = {(f"part:{p}", f"ring:{p}:{r}"): (ring, f"init:{r}:") for p, part in enumerate(s.parts) for r, ring in enumerate(part)}
+    for part, ring, vertex, coord in moves:
+        if len(coord) == s.dims and (found := rings.get((part, ring))) and 0 <= (k := _index(vertex, found[1])) < len(found[0]):
+            found[0][k] = tuple(coord)
+    gone: dict[tuple, set] = {}
+    if part_type(s.type) != "Point":
+        for part, ring, vertex in deletes:
+            if (part, ring) in rings:
+                gone.setdefault((part, ring), set()).add(_index(vertex, rings[part, ring][1]))
+    for key, places in gone.items():
+        ring = rings[key][0]
+        ring[:] = [c for k, c in enumerate(ring) if k not in places]
+    return geojson.export(s)
+
+
 def _fold(group: pa.Table) -> pa.Table:
     """One feature: pick the newest generation that can be parsed, apply what addresses it, export."""
     none = pa.table([pa.array([], f.type) for f in _ARROW], schema=_ARROW)
@@ -34,22 +58,27 @@ def _fold(group: pa.Table) -> pa.Table:
     shape = gen = None
     for c in candidates:
         try:
-            shape = None if geojson.no_geometry(c["geometry"]) else Engine.parse(c["geometry"])
+            shape = None if geojson.no_geometry(c["geometry"]) else geojson.parse(c["geometry"])
         except (InvalidGeometry, UnsupportedGeometry):
             continue
         gen = (c["site_id"], c["seq"])
         break
     if shape is None:
         return none
-    rows = group.take(edits).select(["gen_site", "gen_seq", "ts", "site_id", "seq", "edit"]).to_pylist()
-    for op in sorted((r for r in rows if (r["gen_site"], r["gen_seq"]) == gen), key=stamp_of):
-        shape.put(op["edit"] | op)
+    rows = [r for r in group.take(edits).select(["gen_site", "gen_seq", "ts", "site_id", "seq", "edit"]).to_pylist() if (r["gen_site"], r["gen_seq"]) == gen]
     moved = group.take(moves)
     columns = [moved[c].to_pylist() for c in ("gen_site", "gen_seq", "part_id", "ring_id", "vertex_id", "coord")]
-    for site, seq, part, ring, vertex, coord in zip(*columns, strict=True):
-        if (site, seq) == gen:
-            shape.place(part, ring, vertex, coord)
-    own = [[group["document_id"][0].as_py()], [group["feature_id"][0].as_py()], [shape.kind], [shape.dims], [shape.geojson()]]
+    placed = [m for site, seq, *m in zip(*columns, strict=True) if (site, seq) == gen and None not in m]
+    if all(r["edit"]["action"] == "delete_vertex" for r in rows):
+        text = _in_place(shape, [(e["part_id"], e["ring_id"], e["vertex_id"] or "") for e in (r["edit"] for r in rows)], placed)
+    else:
+        grown = Engine.of(shape)
+        for op in sorted(rows, key=stamp_of):
+            grown.put(op["edit"] | op)
+        for part, ring, vertex, coord in placed:
+            grown.place(part, ring, vertex, coord)
+        text = grown.geojson()
+    own = [[group["document_id"][0].as_py()], [group["feature_id"][0].as_py()], [shape.type], [shape.dims], [text]]
     return pa.table([pa.array(v, f.type) for v, f in zip(own, _ARROW, strict=True)], schema=_ARROW)
 
 
