@@ -15,13 +15,14 @@ def encode(text: Column, folder: str | None = None, name: str = automaton.TOKENI
     """Token ids of a text as ARRAY<INT>, without special tokens; the empty list for null and empty texts.
 
     Strings that look like special tokens are ordinary text. Texts are encoded whole, whatever their length.
-    ``folder`` is where the vocabulary file lies on each executor.
+    ``folder`` is where the vocabulary file lies; it is compiled on the driver and travels as tables of a few MB.
     """
     folder = folder or automaton.default_folder()
+    tables = automaton.compiled(folder, name)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: pa.Array) -> pa.Array:
-        table = automaton.chunks(folder, name)
+        table = automaton.chunks(tables, folder, name)
         packed = [automaton.encode_text(t, table) if t else b"" for t in texts.to_pylist()]
         offsets = np.zeros(len(packed) + 1, np.int32)
         np.cumsum([len(p) >> 2 for p in packed], out=offsets[1:])
@@ -34,10 +35,11 @@ def encode(text: Column, folder: str | None = None, name: str = automaton.TOKENI
 def count(text: Column, folder: str | None = None, name: str = automaton.TOKENIZER) -> Column:
     """Number of token ids of a text; 0 for null and empty texts."""
     folder = folder or automaton.default_folder()
+    tables = automaton.compiled(folder, name)
 
     @F.arrow_udf(T.LongType())
     def sizes(texts: pa.Array) -> pa.Array:
-        table = automaton.chunks(folder, name)
+        table = automaton.chunks(tables, folder, name)
         return pa.array([len(automaton.encode_text(t, table)) >> 2 if t else 0 for t in texts.to_pylist()], pa.int64())
 
     return sizes(text)
@@ -49,8 +51,8 @@ def decode(ids: Column, folder: str | None = None, name: str = automaton.TOKENIZ
 
     @F.arrow_udf(T.StringType())
     def texts(lists: pa.Array) -> pa.Array:
-        machine = automaton.load(folder, name)
-        return pa.array([None if x is None else machine.decode(x).decode("utf-8", "replace") for x in lists.to_pylist()], pa.string())
+        label = automaton.labels(folder, name).__getitem__
+        return pa.array([None if x is None else b"".join(map(label, x)).decode("utf-8", "replace") for x in lists.to_pylist()], pa.string())
 
     return texts(ids)
 

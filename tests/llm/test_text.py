@@ -20,6 +20,8 @@ from lamina.llm.boost import Blend, Boosted  # noqa: E402
 from lamina.llm.flow import Network  # noqa: E402
 
 FOLDER = automaton.default_folder()
+TABLES = automaton.compiled(FOLDER)
+LABELS = automaton.labels(FOLDER)
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +34,7 @@ def reference():
 
 
 def encode(text):
-    return np.frombuffer(automaton.encode_text(text, automaton.chunks(FOLDER)), "<i4").tolist()
+    return np.frombuffer(automaton.encode_text(text, automaton.chunks(TABLES, FOLDER)), "<i4").tolist()
 
 
 # --- 6 ---
@@ -42,7 +44,7 @@ def encode(text):
 @given(st.text(st.characters(max_codepoint=0x2FFF, exclude_categories=("Cs", "Cn")), max_size=60) | st.text("abe ot'sh\n\t\x1c\x85  <|endoftext|>-=", max_size=120))
 def test_ids_of_any_text(reference, text):
     assert encode(text) == reference(text)
-    assert automaton.load(FOLDER).decode(encode(text)) == text.encode()
+    assert b"".join(map(LABELS.__getitem__, encode(text))) == text.encode()
 
 
 def test_long_and_repetitive_texts(reference):
@@ -52,13 +54,49 @@ def test_long_and_repetitive_texts(reference):
 
 
 def test_arcs_are_the_adjacent_pairs_of_encodings(reference):
-    machine = automaton.load(FOLDER)
+    machine = automaton.Automaton(TABLES)
     rng = random.Random(5)
-    names = [i for i, b in machine.label.items() if b.isalpha() and len(b) < 6]
-    for _ in range(3000):
-        a, b = rng.choice(names), rng.choice(names)
-        text = (machine.label[a] + machine.label[b]).decode()
-        assert machine.arc(a, b) == (reference(text) == [a, b])
+    names = [i for i, b in LABELS.items() if b.isalpha() and len(b) < 6]
+    pairs = [(rng.choice(names), rng.choice(names)) for _ in range(3000)]
+    known = [(int(k) >> 20, int(k) & 0xFFFFF) for k in rng.sample(TABLES.arcs.tolist(), 20_000)]
+    pairs += [(a, b) for a, b in known if a in LABELS and LABELS[a].isalpha() and LABELS[b].isalpha()]
+    for a, b in pairs:
+        text = (LABELS[a] + LABELS[b]).decode("utf-8", "replace")
+        assert machine.arc(a, b) == (reference(text) == [a, b]), text
+
+
+def test_tables_are_closed(reference):
+    """Each label's prefixes have their path in the table; nothing within the vocabulary is settled later."""
+    machine = automaton.Automaton(TABLES)
+    for label in list(LABELS.values())[::7]:
+        assert len(machine.encode(label)) == 1
+        for end in range(1, len(label)):
+            assert b"".join(LABELS[i] for i in machine.encode(label[:end])) == label[:end]
+    assert not machine.other
+
+
+def test_small_vocabulary_against_successive_merges():
+    """Against the merges applied one after another, with doubled tokens and overlaps."""
+    rng = random.Random(3)
+    for _ in range(60):
+        tokens_, merges = list("abc"), []
+        for _ in range(rng.randint(1, 12)):
+            u, v = rng.choice(tokens_), rng.choice(tokens_)
+            if len(u + v) < 9 and u + v not in tokens_:
+                merges.append((u, v))
+                tokens_.append(u + v)
+        ids = {t: i for i, t in enumerate(tokens_)}
+        machine = automaton.Automaton(automaton.compile_tables(merges, ids | {c: 300 + b for c, b in automaton.byte_letters().items() if c not in ids}))
+        for _ in range(150):
+            word = [rng.choice("abc") for _ in range(rng.randint(1, 14))]
+            path = list(word)
+            for u, v in merges:
+                at = 0
+                while at < len(path) - 1:
+                    if path[at] == u and path[at + 1] == v:
+                        path[at : at + 2] = [u + v]
+                    at += 1
+            assert machine.encode("".join(word).encode()) == [ids[t] for t in path], (merges, word)
 
 
 def test_corpus(spark, sf, reference):
