@@ -6,7 +6,7 @@ import math
 import re
 from collections import Counter
 
-from lamina.llm.suffix import covered, repeats
+from lamina.llm.suffix import coverage
 
 #: Lines that carry layout, not text. Fixed by the formats in which commits are written down.
 _HEADER = re.compile(
@@ -52,38 +52,29 @@ def bulk(text: str) -> list[str]:
     return added if sum(map(len, added)) > sum(map(len, message)) else message
 
 
-_LINK = r"(?:https?:)?//[^\s\"'<>\])|]+|(?:[\w-]+\.)+(?:example|invalid|test|com|net|org|info|biz|shop|ru|cn|io)\b[^\s\"'<>\])|]*"
-_TOKEN = re.compile(rf"{_LINK}|\w(?:\.\w){{3,}}|[^\W\d_]+(?:['’-][^\W\d_]+)*|\d[\d.,]*|[^\s\w]|_")
-_IS_LINK = re.compile(_LINK)
+_LINK = r"(?:https?:)?//[^\s\"'<>\])|]+|www\.[^\s\"'<>\])|]+|(?:[\w-]+\.)+[a-z]{2,}/[^\s\"'<>\])|]*"
+_DOTTED = r"(?:[\w-]+\.)+[^\W\d_]{2,}"
+#: Scripts written without spaces, or with endings that do what words do elsewhere: each character is a word.
+_SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af"
+_TOKEN = re.compile(rf"{_LINK}|\w(?:\.\w){{3,}}|{_DOTTED}|[{_SINGLE}]|[^\W\d_{_SINGLE}]+(?:['’-][^\W\d_{_SINGLE}]+)*|\d[\d.,]*|[^\s\w]|_|\w")
+_IS_LINK, _IS_DOTTED = re.compile(_LINK), re.compile(_DOTTED)
 _ORDINAL = re.compile(r"\d+[.)] ")
 _CAPITAL = re.compile(r"\b[A-ZÀ-ÖØ-Þ]")
-#: Words that tie clauses together, by language. Fixed values.
-CLAUSE_WORDS = {
-    "en": "the a an of to and or but in on for with from that this is are was were be it its as by at not no we i you when which because so after before if then than into their there has have had will can should now only also does do".split(),
-    "de": "der die das und oder aber in im auf für mit von dass ist sind war wird nicht wir ich es zu den dem des ein eine weil damit nach vor wenn als wie sonst".split(),
-    "fr": "le la les un une et ou mais dans sur pour avec de du des que qui est sont était ce cette il elle nous pas ne au aux parce comme selon par plus".split(),
-    "es": "el la los las un una y o pero en para con de del que es son era este esta no se lo al porque como según por más".split(),
-    "pl": "i lub ale w we na dla z ze od do że jest są był nie się to ten ta po przed bo aby gdy jak za zgodnie oraz".split(),
-    "nl": "de het een en of maar in op voor met van dat is zijn was niet we ik te als om bij".split(),
-    "pt": "o os uma e ou mas em para com do da dos das que é são não se ao porque como por mais".split(),
-    "it": "il lo gli uno e o ma in per con di del della che è sono non si al perché come da più".split(),
-}
-_CLAUSE = frozenset(w for words in CLAUSE_WORDS.values() for w in words)
-#: Characters of particles and endings that clauses carry in scripts without spaces or of other alphabets.
-_CLAUSE_CHARS = re.compile(r"[はがをにでのとも。、了的是在为和，！？]|[一-鿿]{4,}[。、]|\b(?:и|в|на|не|что|для|с|по|из|как|от|чтобы|после|он|это|та|що|як|για|και|το|της|να|의|는|을|를|이|가)\b")
 _CODE = frozenset("{}()[];=<>*&^%$#@!\\|~`+\"'/_")
 _MONEY = frozenset("€$£¥₽")
 _SEPARATORS = frozenset("|,;/")
+#: Words that a line must have before it can be a clause.
+CLAUSE_LINE = 4
 
 FEATURES = (
     "log_chars", "lines", "cover_1", "cover_3", "cover_6", "link_share", "links_per_line", "clause_share", "clause_lines", "ended_lines", "money",
     "code_share", "distinct", "top_word", "top_five", "words_per_line", "single_lines", "digits", "spaced_out", "upper", "list_marks", "word_share", "long_words", "longest_repeat", "hyphened", "separators",
-    "no_clause_cover", "at_marks", "hash_marks", "numbered", "quotes", "bulk_share",
+    "no_clause_cover", "at_marks", "hash_marks", "numbered", "quotes", "bulk_share", "dotted",
 )
 
 
 #: Kinds of tokens.
-_OTHER, _WORD, _CLAUSE_WORD, _NUMBER, _URL, _SPACED = range(6)
+_OTHER, _WORD, _NUMBER, _URL, _SPACED, _NAME = range(6)
 
 
 class _Kinds(dict):
@@ -98,8 +89,10 @@ class _Kinds(dict):
             kind = _NUMBER
         elif len(token) > 4 and token[1] == "." and "." in token[3:4]:
             kind = _SPACED
+        elif "." in token and _IS_DOTTED.fullmatch(token):
+            kind = _NAME
         elif token[0].isalnum():
-            kind = _CLAUSE_WORD if token in _CLAUSE else _WORD
+            kind = _WORD
         else:
             kind = _OTHER
         self[token] = kind
@@ -109,18 +102,35 @@ class _Kinds(dict):
 _KINDS = _Kinds()
 
 
-def figures(text: str | None) -> list[float] | None:
-    """The figures of a page; None for a null text or one without message and added lines."""
+def _lines(text: str | None) -> tuple[list[str], int, int]:
+    """The bulk's lines that aren't blank, and the characters of message and added lines."""
+    message, added = segments(text) if text else ((), ())
+    size, other = sum(map(len, added)), sum(map(len, message))
+    return [body for line in (added if size > other else message) if (body := line.strip())], size, other
+
+
+def clause_candidates(text: str | None) -> set[str]:
+    """Words of a page that stand in lines long enough to be clauses."""
+    out: set[str] = set()
+    kind = _KINDS.__getitem__
+    for body in _lines(text)[0]:
+        words = [t for t in _TOKEN.findall(body.lower()) if kind(t) == _WORD]
+        if len(words) >= CLAUSE_LINE:
+            out.update(words)
+    return out
+
+
+def figures(text: str | None, ties: frozenset[str] = frozenset()) -> list[float] | None:
+    """The figures of a page; None for a null text or one without message and added lines.
+
+    ``ties`` are the words that tie clauses together, learned from labelled pages.
+    """
     tokens: list[str] = []
     clause = clause_lines = ended = single = marks = kept = words = capitals = 0
     kind = _KINDS.__getitem__
     numbered = 0
-    message, added = segments(text) if text else ((), ())
-    size, other = sum(map(len, added)), sum(map(len, message))
-    for line in added if size > other else message:
-        body = line.strip()
-        if not body:
-            continue
+    lines, size, other = _lines(text)
+    for body in lines:
         kept += 1
         if body[0] in "-*•" or body[:4] == "<li>":
             marks += 1
@@ -128,29 +138,27 @@ def figures(text: str | None) -> list[float] | None:
             numbered += 1
         here = _TOKEN.findall(body.lower())
         tokens += here
-        kinds = bytes(map(kind, here))
-        said = kinds.count(_CLAUSE_WORD)
-        spoken = kinds.count(_WORD) + said
-        foreign = 0 if body.isascii() else len(_CLAUSE_CHARS.findall(body))
+        spoken = bytes(map(kind, here)).count(_WORD)
+        said = sum(map(ties.__contains__, here))
         capitals += len(_CAPITAL.findall(body))
         words += spoken
-        clause += said + foreign
-        if said and spoken >= 4 or foreign:
+        clause += said
+        if said and spoken >= CLAUSE_LINE:
             clause_lines += 1
         if body[-1] in ".!?。:;":
             ended += 1
-        if spoken <= 1 and not foreign:
+        if spoken <= 1:
             single += 1
     total = len(tokens)
     if not total:
         return None
     counts = Counter(tokens)
     link_chars = links = word_chars = code = money = digits = spaced = hyphened = separators = long_words = distinct = 0
+    dotted = 0
     tops = []
-    same = {}
     for token, n in counts.items():
         k = kind(token)
-        if k == _WORD or k == _CLAUSE_WORD:
+        if k == _WORD:
             distinct += 1
             tops.append(n)
             word_chars += n * len(token)
@@ -167,24 +175,22 @@ def figures(text: str | None) -> list[float] | None:
                 separators += n
         elif k == _NUMBER:
             digits += n * len(token)
-            same[token] = "0"
         elif k == _URL:
             links += n
             link_chars += n * len(token)
-            same[token] = "//"
+        elif k == _NAME:
+            dotted += n
         else:
             spaced += n
     sizes = list(map(len, tokens))
     chars = sum(sizes)
-    if same:
-        tokens = [same.get(t, t) for t in tokens]
-    found = repeats(tokens)
-    cover = [c / chars for c in covered(found, sizes, (1, 3, 6))]
+    longest, cover = coverage(tokens, sizes, (1, 3, 6))
+    cover = [c / chars for c in cover]
     tops.sort(reverse=True)
     clause_share, many = clause / max(1, words), max(1, words)
     return [
         math.log1p(chars), math.log1p(kept), *cover, link_chars / chars, links / kept, clause_share, clause_lines / kept, ended / kept, money / total,
         code / total, distinct / many, tops[0] / words if words else 0.0, sum(tops[:5]) / words if words else 0.0, words / kept, single / kept, digits / chars, spaced / total,
-        capitals / many, marks / kept, word_chars / chars, long_words / many, math.log1p(max(found)[0]), hyphened / many, separators / total,
-        (1 - min(1.0, clause_share * 5)) * cover[0], counts["@"] / kept, counts["#"] / kept, numbered / kept, (counts['"'] + counts["'"]) / total, max(size, other) / max(1, size + other),
+        capitals / many, marks / kept, word_chars / chars, long_words / many, math.log1p(longest), hyphened / many, separators / total,
+        (1 - min(1.0, clause_share * 5)) * cover[0], counts["@"] / kept, counts["#"] / kept, numbered / kept, (counts['"'] + counts["'"]) / total, max(size, other) / max(1, size + other), dotted / total,
     ]

@@ -41,7 +41,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_figures(spark: SparkSession, sf: str) -> DataFrame:
     """The figures of each page."""
-    return spam.explained(table(spark, sf, "documents"))
+    return spam.explained(table(spark, sf, "documents"), table(spark, sf, "page_labels"))
 
 
 QUERIES = {"p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_figures": p8_figures}
