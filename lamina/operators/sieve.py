@@ -24,10 +24,15 @@ def _place(columns: tuple[str, ...], bits: int) -> tuple[Column, Column, Column]
 
 
 def sieve(keys: DataFrame, columns: tuple[str, ...], bits: int = BITS) -> DataFrame:
-    """The filter of the keys in ``columns``: (sv_bucket, sv_words). Bits are set map-side before the shuffle; no keys give no rows."""
+    """The filter of the keys in ``columns``: (sv_bucket, sv_words). Bits are set map-side before the shuffle.
+
+    Every bucket is there, so the table has the same size for few keys and for many.
+    """
     bucket, word, bit = _place(columns, bits)
     one = F.expr("shiftleft(1L, sv_bit)")
-    words = keys.select(bucket.alias("sv_bucket"), word.alias("sv_word"), bit.alias("sv_bit")).groupBy("sv_bucket", "sv_word").agg(F.bit_or(one).alias("sv_bits"))
+    set_ = keys.select(bucket.alias("sv_bucket"), word.alias("sv_word"), bit.alias("sv_bit")).groupBy("sv_bucket", "sv_word").agg(F.bit_or(one).alias("sv_bits"))
+    unset = keys.sparkSession.range(0, 1 << (bits - _BUCKET_BITS), 1, 1).select(F.col("id").cast("int").alias("sv_bucket"), F.lit(-1).alias("sv_word"), F.lit(0).cast("bigint").alias("sv_bits"))
+    words = set_.unionByName(unset)
     held = words.groupBy("sv_bucket").agg(F.map_from_entries(F.collect_list(F.struct("sv_word", "sv_bits"))).alias("sv_map"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.col("sv_map")[i], F.lit(0).cast("bigint")))
     return held.select("sv_bucket", dense.alias("sv_words"))
