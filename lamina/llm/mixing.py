@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm import tokens
 from lamina.llm.flow import Network
-from lamina.session import cut
+from lamina.session import BROADCAST_LIMIT, cut
 
 #: Documents per bucket of the seeded order; a window partition holds one bucket of one pattern.
 PER_BUCKET = 20_000
@@ -42,6 +42,20 @@ def sources_of(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", pattern.alias("pattern"), tokens.count(F.col("text")).alias("n_tokens"))
 
 
+def sources_by_copies(documents: DataFrame) -> DataFrame:
+    """(doc_id, pattern, n_tokens) of distinct texts: exact copies are one record that belongs to all their sources.
+
+    The copy with the smallest doc_id stands for them. Texts are told apart by their SHA-256, so that only hashes and
+    sources are shuffled, combined map-side: a text copied a million times is one row per map task. Null and empty texts,
+    which have no tokens, are left out.
+    """
+    name = F.lower(F.trim(F.col("source")))
+    named = documents.where(F.coalesce("text", F.lit("")) != "").select("doc_id", F.when(name != "", name).alias("name"), F.sha2("text", 256).alias("digest"))
+    merged = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_set("name")).alias("pattern"))
+    sizes = documents.select("doc_id", tokens.count(F.col("text")).alias("n_tokens"))
+    return merged.select("doc_id", "pattern").join(sizes, "doc_id")
+
+
 def read_targets(targets: DataFrame) -> list[Target]:
     """Target rows, sources trimmed and in lower case; a source named twice in a mix adds its weights and keeps the larger limit.
 
@@ -58,12 +72,18 @@ def read_targets(targets: DataFrame) -> list[Target]:
     return [Target(r["mix_name"], r["source"], float(r["w"] or 0.0), max(0, int(r["r"] or 0)), float(r["f"] or 0.0)) for r in rows]
 
 
-def quotas(targets: list[Target], corpus_tokens: int) -> dict[str, int]:
-    """Whole-token quotas of one mix: its size shared by weight, remainders to the largest fractions."""
+def quotas(targets: list[Target], corpus_tokens: int, reachable: dict[str, int] | None = None) -> dict[str, int]:
+    """Whole-token quotas of one mix: its size shared by weight, remainders to the largest fractions.
+
+    With ``reachable``, the tokens that each source can give, the size is lowered until every source that has
+    documents reaches its share.
+    """
     total = sum(t.weight for t in targets)
     if not total:
         return {t.source: 0 for t in targets}
     size = round(corpus_tokens * targets[0].corpus_fraction)
+    if reachable is not None:
+        size = min([size, *(math.floor(reachable[t.source] * total / t.weight) for t in targets if t.weight and reachable.get(t.source))])
     exact = {t.source: size * t.weight / total for t in targets}
     out = {s: math.floor(x) for s, x in exact.items()}
     short = size - sum(out.values())
@@ -97,12 +117,13 @@ class Mix:
     shares: DataFrame
 
 
-def mix(sized: DataFrame, targets: DataFrame, seed: int = 7) -> Mix:
+def mix(sized: DataFrame, targets: DataFrame, seed: int = 7, keep_shares: bool = False) -> Mix:
     """Combine documents (doc_id, pattern, n_tokens) so that each source reaches its share of tokens.
 
     A mix's size is corpus_fraction of all tokens, unlisted sources included. A source with too few
     tokens gives all it may (each document max_repeats times) and falls short; the others keep to
-    their quotas. Every share is met within one document's tokens per stretch of the line. Documents
+    their quotas, or, with ``keep_shares``, the mix is made smaller until every source that has documents
+    reaches its share. Every share is met within one document's tokens per stretch of the line. Documents
     without tokens are never chosen. Sources without documents, with weight 0 or limit 0 get nothing
     and still have their row in ``shares``.
 
@@ -122,7 +143,7 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 7) -> Mix:
     stretches, quota_rows = [], []
     for name in sorted({t.mix for t in wanted}):
         own = [t for t in wanted if t.mix == name]
-        quota = quotas(own, corpus)
+        quota = quotas(own, corpus, {t.source: t.max_repeats * sum(s for p, s in usable if t.source in p) for t in own} if keep_shares else None)
         flow = route(usable, own, quota)
         weights = sum(t.weight for t in own)
         for i, (pattern, size) in enumerate(usable):
@@ -142,7 +163,9 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 7) -> Mix:
     plan = spark.createDataFrame(stretches, "mix_name string, source string, pattern array<string>, length bigint, a bigint, b bigint")
     # A copy k of a document starts at start + k * length; it belongs to the stretch that holds its start.
     turns = lambda x: F.expr(f"CAST(CASE WHEN {x} > start THEN ({x} - start + length - 1) DIV length ELSE 0 END AS BIGINT)")
-    hit = line.join(F.broadcast(plan), "pattern").withColumn("uses", turns("b") - turns("a")).where("uses > 0")
+    # As many rows as patterns that occur times their sources; broadcast by hint only while that is small.
+    small = sum(64 + sum(map(len, row[2])) for row in stretches) < BROADCAST_LIMIT
+    hit = line.join(F.broadcast(plan) if small else plan, "pattern").withColumn("uses", turns("b") - turns("a")).where("uses > 0")
     chosen = hit.select("mix_name", "source", "doc_id", F.col("uses"), "n_tokens")
 
     goals = spark.createDataFrame(quota_rows, "mix_name string, source string, target_share double, quota_tokens bigint, available_tokens bigint, max_repeats int")

@@ -34,6 +34,17 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).shares
 
 
+def p7_even(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of mixes made small enough for every source to reach its own."""
+    sized = mixing.sources_of(table(spark, sf, "documents"))
+    return mixing.mix(sized, table(spark, sf, "mix_targets"), keep_shares=True).shares
+
+
+def p7_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of mixes of distinct texts, each of which belongs to all sources that have a copy of it."""
+    return mixing.mix(mixing.sources_by_copies(table(spark, sf, "documents")), table(spark, sf, "mix_targets")).shares
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pages of search words, links or product tags."""
     return spam.found(table(spark, sf, "documents"), table(spark, sf, "page_labels"))
@@ -44,5 +55,5 @@ def p8_figures(spark: SparkSession, sf: str) -> DataFrame:
     return spam.explained(table(spark, sf, "documents"), table(spark, sf, "page_labels"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_figures": p8_figures}
+QUERIES = {"p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_even": p7_even, "p7_overlap": p7_overlap, "p8_found": p8_found, "p8_figures": p8_figures}
 SQL = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

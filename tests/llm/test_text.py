@@ -162,10 +162,24 @@ def test_mix_reaches_its_shares(spark, monkeypatch):
     assert abs(shares["even", "big"].quota_tokens - total * 0.3 / 5) <= 1 and shares["even", "none"].short and not shares["odd", "rare"].quota_tokens
     spread = [r.uses for r in chosen if (r.mix_name, r.source) == ("even", "small")]
     assert max(spread) - min(spread) <= 1  # nothing is repeated again while others wait
+    for key, r in {(r.mix_name, r.source): r for r in mixing.mix(sized, targets, keep_shares=True).shares.collect()}.items():
+        assert abs(r.actual_tokens - r.quota_tokens) <= 400 or not have[key[1]], key  # every source that has documents gets there
     again = mixing.mix(sized.orderBy(F.desc("doc_id")), targets)
     assert sorted(map(tuple, again.chosen.collect())) == sorted(map(tuple, chosen))
 
 
+def test_copies_belong_to_all_their_sources(spark):
+    docs = spark.createDataFrame([(5, "x y", "B "), (3, "x y", "a"), (4, "x y", "a"), (9, "x z", None), (7, "", "a"), (8, None, "a")], "doc_id bigint, text string, source string")
+    sized = mixing.sources_by_copies(docs)
+    assert sorted((r.doc_id, r.pattern, r.n_tokens) for r in sized.collect()) == [(3, ["a", "b"], 2), (9, [], 2)]
+    rows = [(i, ["a"], 10) for i in range(10)] + [(i, ["a", "b"], 10) for i in range(10, 40)]
+    both = spark.createDataFrame(rows, "doc_id bigint, pattern array<string>, n_tokens bigint")
+    targets = spark.createDataFrame([("m", "a", 1.0, 1, 1.0), ("m", "b", 1.0, 1, 1.0)], "mix_name string, source string, weight double, max_repeats int, corpus_fraction double")
+    mixed = mixing.mix(both, targets)
+    assert {r.source: r.actual_tokens for r in mixed.shares.collect()} == {"a": 200, "b": 200}  # a leaves the shared documents to b
+    assert mixed.chosen.count() == 40 and mixed.chosen.where("source = 'b' AND doc_id < 10").count() == 0
+
+
 def test_mix_of_nothing(spark):
     sized = spark.createDataFrame([], "doc_id bigint, pattern array<string>, n_tokens bigint")
     targets = spark.createDataFrame([("m", "a", 1.0, 2, 0.5)], "mix_name string, source string, weight double, max_repeats int, corpus_fraction double")
