@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamina.errors import IdentityCollision, InvalidOp
 from lamina.functions.canon import CREATED, is_json
+from lamina.operators.clocks import covered
 from lamina.operators.dedupe import digests
 from lamina.operators.messages import IDENTITY, messages, not_blank, well_numbered
 from lamina.schemas import ACTIONS, COUNTER_BOUND, OP_TYPES, WIRE_VERSION
@@ -103,8 +104,14 @@ def clock_error(clock: Column) -> Column:
     return F.when(bad, "invalid vector clock")
 
 
-def delta_error() -> Column:
-    """The first reason for which a delta envelope is invalid: version, names, clock, maps; null for a valid one."""
+def delta_error(newest: Column | None = None) -> Column:
+    """The first reason for which a delta envelope is invalid: version, names, clock, maps, and how they fit; null for a valid one.
+
+    What was compacted must lie within the vector clock; ``newest``, the largest ts of the delta's operations, within its clock.
+    """
+    fits = [F.when(~covered(F.col("compacted"), F.col("vector_clock")), "compacted exceeds the vector clock")]
+    if newest is not None:
+        fits.append(F.when(newest > F.col("clock"), "an operation is newer than the clock"))
     return F.coalesce(
         F.when(F.coalesce(F.col("version"), F.lit(0)) != WIRE_VERSION, "unsupported version"),
         F.when(~not_blank(F.col("document_id")), "document_id is required"),
@@ -112,4 +119,34 @@ def delta_error() -> Column:
         F.when(F.col("clock").isNull() | (F.col("clock") < 0) | (F.col("clock") >= COUNTER_BOUND), "clock is out of range"),
         clock_error(F.col("vector_clock")),
         clock_error(F.col("compacted")),
+        *fits,
     )
+
+
+def judged_deltas(deltas: DataFrame, rows: DataFrame) -> DataFrame:
+    """Delta envelopes with ``error``, their operations (rows with the same batch_id) considered.
+
+    Only the largest ts per batch is joined, combined map-side.
+    """
+    newest = rows.where("ts IS NOT NULL AND batch_id IS NOT NULL").groupBy(F.col("batch_id").alias("n_batch")).agg(F.max("ts").alias("n_ts"))
+    met = deltas.join(newest, F.col("batch_id") == F.col("n_batch"), "left")
+    return met.withColumn("error", delta_error(F.col("n_ts"))).drop("n_batch", "n_ts")
+
+
+#: Members by which a wire edit may repeat its operation's identity.
+EMBEDDED = ("site_id", "seq", "ts")
+
+
+def inherit_identity(rows: DataFrame) -> DataFrame:
+    """Operations whose edit carries the identity of its envelope; whatever it said of its own is replaced. Null edits stay null."""
+    e = F.col("geometry_op")
+    plain = [f for f in rows.schema["geometry_op"].dataType.names if f not in EMBEDDED]
+    own = F.struct(*[e[f].alias(f) for f in plain], *[F.col(f).alias(f) for f in EMBEDDED])
+    return rows.withColumn("geometry_op", F.when(e.isNotNull(), own))
+
+
+def strip_identity(rows: DataFrame) -> DataFrame:
+    """Operations as they are kept and sent: edits without an identity of their own, which the envelope gives."""
+    e = F.col("geometry_op")
+    plain = [f for f in rows.schema["geometry_op"].dataType.names if f not in EMBEDDED]
+    return rows.withColumn("geometry_op", F.when(e.isNotNull(), F.struct(*[e[f].alias(f) for f in plain])))

@@ -120,3 +120,11 @@ def features(op: DataFrame, base: DataFrame, repairs: int = 0) -> DataFrame:
     held = property_values(op, base).groupBy(*FEATURE).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("property_key", "value")))).alias("properties"))
     rows = alive.join(shown, list(FEATURE), "left").join(held, list(FEATURE), "left")
     return rows.select(*FEATURE, "geometry", feature_json("feature_id", "geometry", "properties").alias("feature"))
+
+
+def next_base(op: DataFrame, base: DataFrame) -> DataFrame:
+    """Base features of the next epoch: (document_id, feature_id, geometry, properties) of visible features, as exported."""
+    alive = replay.liveness(usable(op), base).where("visible").select(*FEATURE)
+    shown = geometries(op, base).select(*FEATURE, "geometry")
+    held = property_values(op, base).groupBy(*FEATURE).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("property_key", "value")))).alias("properties"))
+    return alive.join(shown, list(FEATURE), "left").join(held, list(FEATURE), "left")

@@ -13,10 +13,7 @@ tokens over deterministic work items, kept as a log of Parquet folders published
 
 from __future__ import annotations
 
-import json
-import os
 import time
-import uuid
 from dataclasses import dataclass
 from datetime import timedelta
 
@@ -26,6 +23,7 @@ from pyspark.sql import functions as F
 from lamina.errors import LaminaError
 from lamina.operators.messages import messages
 from lamina.session import shared_dir
+from lamina.sources.folders import FolderLog
 
 STREAM = ("document_id", "site_id")
 ITEM = (*STREAM, "block")
@@ -120,11 +118,10 @@ def work_items(found: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Lease:
-    """What a worker holds: its items with their fencing tokens (item_id, fence, path), until when, and since which version."""
+    """What a worker holds, until when: its items with their fencing tokens (item_id, fence, path)."""
 
     worker: str
     until: float
-    version: int
     items: DataFrame
 
 
@@ -134,65 +131,20 @@ EVENTS = "item_id string, event string, fence bigint, worker string, until doubl
 class WorkLedger:
     """States of work items as a log of Parquet folders in the shared folder; any Hadoop file system will do.
 
-    A change of state (items added, claimed, released, done) is a folder of event rows, written first and then
-    published as the next version by creating its entry exclusively. Whoever read an older version fails to
-    publish, reads again and decides anew, so no takeover goes unseen. An item's state is an aggregate
-    over its events: the table may hold as many items as any other, and only version numbers reach the driver.
+    A change of state (items added, claimed, released, done) is a folder of event rows, published as the next version
+    of a FolderLog only if no other came between, so no takeover goes unseen. An item's state is an aggregate
+    over its events: the table may hold as many items as any other.
 
     Every token has an output folder of its own, and readers take the folder of the token that was published as
     done, so a late worker can write only where nobody looks. A retry under one token overwrites its own folder.
     """
 
     def __init__(self, spark: SparkSession, name: str, clock=time.time) -> None:
-        self.spark, self.clock = spark, clock
-        self.root = f"{shared_dir(spark)}/ledger/{name}"
-        self._fs().mkdirs(self._path("log"))
-
-    def _path(self, *parts: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
-
-    def _fs(self):
-        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _create(self, path, text: str) -> bool:
-        """Create a file exclusively; false if it's there."""
-        fs, data = self._fs(), text.encode()
-        if fs.getScheme() == "file":  # the local file system's own create isn't atomic
-            try:
-                at = os.open(path.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-            except FileExistsError:
-                return False
-            with os.fdopen(at, "wb") as f:
-                f.write(data)
-            return True
-        try:
-            out = fs.create(path, False)
-        except Exception as e:  # noqa: BLE001
-            if fs.exists(path):
-                return False
-            raise e
-        out.write(data)
-        out.close()
-        return True
-
-    def _published(self) -> list[str]:
-        """Folders of the published versions, in order."""
-        names = sorted(s.getPath().getName() for s in self._fs().listStatus(self._path("log")))
-        rows = self.spark.read.schema("version bigint, folder string").json([f"{self.root}/log/{n}" for n in names]) if names else None
-        return [] if rows is None else [r["folder"] for r in rows.orderBy("version").collect()]
-
-    def _publish(self, version: int, events: DataFrame) -> bool:
-        """Write events and make them version ``version``; false if another was faster."""
-        folder = f"events/{uuid.uuid4().hex}"
-        events.select("item_id", "event", "fence", "worker", "until").write.parquet(f"{self.root}/{folder}")
-        return self._create(self._path("log", f"{version:012d}.json"), json.dumps({"version": version, "folder": folder}))
-
-    def _at(self, folders: list[str]) -> DataFrame:
-        """State of each item after the given versions: (item_id, state, fence, worker, until, path)."""
-        if not folders:
-            rows = self.spark.createDataFrame([], EVENTS)
-        else:
-            rows = self.spark.read.schema(EVENTS).parquet(*[f"{self.root}/{f}" for f in folders])
+        self.root, self.clock = f"{shared_dir(spark)}/ledger/{name}", clock
+        self.log = FolderLog(spark, self.root, EVENTS)
+
+    def _at(self, rows: DataFrame) -> DataFrame:
+        """State of each item after the given events: (item_id, state, fence, worker, until, path)."""
         rank = F.when(F.col("event") == "done", 2).when(F.col("event") == "release", 1).otherwise(0)
         last = rows.groupBy("item_id").agg(F.max(F.struct("fence", rank.alias("rank"), "worker", "until")).alias("e"), F.max(F.when(F.col("event") == "done", F.struct("fence", "worker"))).alias("d"))
         now = F.lit(float(self.clock()))
@@ -206,15 +158,12 @@ class WorkLedger:
 
     def table(self) -> DataFrame:
         """All items: (item_id, state, fence, worker, until, path). Of done items ``path`` is where readers find the output."""
-        return self._at(self._published())
+        return self._at(self.log.read())
 
-    def _change(self, decide) -> tuple[int, DataFrame]:
-        """Publish what ``decide`` makes of the newest state, again whenever another version came between."""
-        while True:
-            folders = self._published()
-            events = decide(self._at(folders))
-            if self._publish(len(folders) + 1, events):
-                return len(folders) + 1, self.spark.read.schema(EVENTS).parquet(f"{self.root}/{self._published()[len(folders)]}")
+    def _change(self, decide) -> DataFrame:
+        """Publish the events that ``decide`` makes of the newest state; the events."""
+        columns = [c.split()[0] for c in EVENTS.split(", ")]
+        return self.log.read([self.log.change(lambda rows: decide(self._at(rows)).select(*columns))])
 
     def add(self, items: DataFrame) -> None:
         """Register items (item_id) as pending; known ones stay as they are."""
@@ -230,8 +179,7 @@ class WorkLedger:
             free = free if items is None else free.join(items.select("item_id").distinct(), "item_id", "left_semi")
             return free.select("item_id", F.lit("claim").alias("event"), (F.col("fence") + 1).alias("fence"), F.lit(worker).alias("worker"), F.lit(float(until)).alias("until"))
 
-        version, taken = self._change(take)
-        return Lease(worker, until, version, taken.select("item_id", "fence", self.path(F.col("fence")).alias("path")))
+        return Lease(worker, until, self._change(take).select("item_id", "fence", self.path(F.col("fence")).alias("path")))
 
     def _end(self, lease: Lease, event: str) -> None:
         def end(state: DataFrame) -> DataFrame:

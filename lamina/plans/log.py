@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import topology as topo
-from lamina.functions.geojson import normal_geometry
+from lamina.functions.geojson import normal_geometry, shape
 from lamina.operators import clocks, envelope, export, outcomes, replay, snapshots
 from lamina.operators import geometry as geo
 from lamina.operators.messages import first_deliveries, messages
@@ -75,6 +75,11 @@ def geometry_from_tables(spark: SparkSession, sf: str) -> DataFrame:
     return geo.geometries(_tables(spark, sf))
 
 
+def ring_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Visible and all vertices of each ring."""
+    return geo.ring_sizes(_tables(spark, sf))
+
+
 # --- validity ---
 
 
@@ -90,7 +95,8 @@ def identity_collisions(spark: SparkSession, sf: str) -> DataFrame:
 
 def delta_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Delta envelopes by the first reason for which they are invalid."""
-    return table(spark, sf, "delta_batches").withColumn("error", envelope.delta_error()).groupBy("error").agg(F.count(F.lit(1)).alias("batches"))
+    judged = envelope.judged_deltas(table(spark, sf, "delta_batches"), messages(table(spark, sf, "op_messages")))
+    return judged.groupBy("error").agg(F.count(F.lit(1)).alias("batches"))
 
 
 # --- clocks ---
@@ -228,36 +234,49 @@ def lineage_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rings(spark: SparkSession, sf: str) -> DataFrame:
-    """Rings of add_ring messages as sent, one row per delivery."""
-    return messages(table(spark, sf, "op_messages")).where("geometry_op.action = 'add_ring'").select("delivery_id", F.col("geometry_op.ring").alias("ring"))
+    """Polygon rings as they were sent: of add_ring messages, of the geometries and parts in messages, and of base features.
+
+    (origin, part_no, ring_no, ring): the origin names the delivery or the base feature. Broken geometries have none.
+    """
+    op = messages(table(spark, sf, "op_messages"))
+    zero = F.lit(0)
+    added = op.where("geometry_op.action = 'add_ring' AND geometry_op.ring IS NOT NULL").select(F.concat(F.lit("ring:"), "delivery_id").alias("origin"), zero.alias("part_no"), zero.alias("ring_no"), F.col("geometry_op.ring").alias("ring"))
+    texts = op.where(F.col("type").isin(*geo.MAKERS)).select(F.concat(F.lit("geometry:"), "delivery_id").alias("origin"), "geometry")
+    texts = texts.unionByName(op.where("geometry_op.action = 'add_part'").select(F.concat(F.lit("part:"), "delivery_id").alias("origin"), F.col("geometry_op.part").alias("geometry")))
+    base = _base(spark, sf).dropDuplicates(["document_id", "feature_id"]).select(F.concat(F.lit("base:"), "document_id", F.lit("/"), "feature_id").alias("origin"), "geometry")
+    shapes = texts.unionByName(base).where("geometry IS NOT NULL").withColumn("s", shape("geometry")).where("s.error IS NULL AND s.type LIKE '%Polygon'")
+    vertices = shapes.select("origin", F.explode("s.vertices").alias("v")).groupBy("origin", F.col("v.part").alias("part_no"), F.col("v.ring").alias("ring_no"))
+    opened = vertices.agg(F.transform(F.array_sort(F.collect_list(F.struct("v.pos", "v.coord"))), lambda x: x.coord).alias("ring"))
+    return added.unionByName(opened)
 
 
 def signed_area(spark: SparkSession, sf: str) -> DataFrame:
     """Shoelace area of rings."""
-    return _rings(spark, sf).select("delivery_id", F.round(topo.signed_area(F.col("ring")), 9).alias("area"))
+    return _rings(spark, sf).select("origin", "part_no", "ring_no", F.round(topo.signed_area(F.col("ring")), 6).alias("area"))
 
 
 def dedup_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Positions of rings, with their closing, once consecutive repeats are gone."""
     doubled = F.concat("ring", F.slice("ring", -1, 1))
-    return _rings(spark, sf).select("delivery_id", F.size(topo.without_duplicates(doubled)).alias("positions"))
+    return _rings(spark, sf).select("origin", "part_no", "ring_no", F.size(topo.without_duplicates(doubled)).alias("positions"))
 
 
 def close_ring(spark: SparkSession, sf: str) -> DataFrame:
     """Rings closed: how many positions, and the last one."""
     c = topo.closed(F.col("ring"))
-    return _rings(spark, sf).select("delivery_id", F.size(c).alias("positions"), F.get(c, F.size(c) - 1)[0].alias("last_x"))
+    return _rings(spark, sf).select("origin", "part_no", "ring_no", F.size(c).alias("positions"), F.get(c, F.size(c) - 1)[0].alias("last_x"))
 
 
 def orient_ring(spark: SparkSession, sf: str) -> DataFrame:
-    """Closed rings turned clockwise, as holes are: the second position."""
-    o = topo.oriented(topo.closed(F.col("ring")), F.lit(False))
-    return _rings(spark, sf).select("delivery_id", F.get(o, F.lit(1))[0].alias("x"), F.get(o, F.lit(1))[1].alias("y"))
+    """Closed rings turned both ways, as holes and as exteriors are: their second positions."""
+    hole, outer = (topo.oriented(topo.closed(F.col("ring")), F.lit(way)) for way in (False, True))
+    second = lambda ring, k: F.get(ring, F.lit(1))[k]
+    return _rings(spark, sf).select("origin", "part_no", "ring_no", second(hole, 0).alias("x"), second(hole, 1).alias("y"), second(outer, 0).alias("outer_x"), second(outer, 1).alias("outer_y"))
 
 
 def degenerate_ring(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the first two positions of rings alone, and all of them, are degenerate."""
-    return _rings(spark, sf).select("delivery_id", topo.degenerate(F.slice("ring", 1, 2)).alias("cut"), topo.degenerate(F.col("ring")).alias("whole"))
+    return _rings(spark, sf).select("origin", "part_no", "ring_no", topo.degenerate(F.slice("ring", 1, 2)).alias("cut"), topo.degenerate(F.col("ring")).alias("whole"))
 
 
 def polygon_validity(spark: SparkSession, sf: str) -> DataFrame:
@@ -324,11 +343,10 @@ def delta_wire(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rebase_base(spark: SparkSession, sf: str) -> DataFrame:
-    """The base of each document's next epoch: its visible features with geometry and current properties."""
-    log, base = _log(spark, sf), _base(spark, sf)
-    shown = export.features(log, base).select("document_id", "feature_id", "geometry")
-    held = geo.property_values(log, base).groupBy("document_id", "feature_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("property_key", "value")))).alias("properties"))
-    return shown.join(held, ["document_id", "feature_id"], "left")
+    """The base of each document's next epoch: its visible features with geometry and current properties (name=value, by name)."""
+    next_ = export.next_base(_log(spark, sf), _base(spark, sf))
+    named = F.transform(F.array_sort(F.map_entries(F.coalesce("properties", F.create_map().cast("map<string,string>")))), lambda e: F.concat(e.key, F.lit("="), F.coalesce(e.value, F.lit(""))))
+    return next_.select("document_id", "feature_id", "geometry", F.array_join(named, "\n").alias("properties"))
 
 
 def rebase_unsafe(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """Standard SQL for the queries of log.py, over views named as the tables."""
 
+from lamina.functions.canon import CREATED
+from lamina.operators.messages import NOT_SPACE
 from lamina.plans.problems_sql import IDS, ISLANDS, MESSAGES, P5_FOUND
+from lamina.schemas import ACTIONS, OP_TYPES
 
 #: The op log: first deliveries.
 LOG = f"""{MESSAGES},
@@ -143,8 +146,18 @@ WRITES = """w AS (
 ),
 won AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY document_id, feature_id, property_key ORDER BY ts DESC, site_id DESC, seq DESC) = 1)"""
 RINGS = f"""{MESSAGES},
-r AS (SELECT delivery_id, geometry_op.ring AS ring FROM m WHERE geometry_op.action = 'add_ring'),
-c AS (SELECT delivery_id, ring, CASE WHEN len(ring) < 3 OR (ring[1][1] = ring[-1][1] AND ring[1][2] = ring[-1][2]) THEN ring ELSE list_append(ring, ring[1]) END AS shut FROM r)"""
+sent AS (
+  SELECT 'geometry:' || delivery_id AS origin, geometry FROM m WHERE type IN ('insert_feature', 'set_geometry')
+  UNION ALL SELECT 'part:' || delivery_id, geometry_op.part FROM m WHERE geometry_op.action = 'add_part'
+  UNION ALL SELECT DISTINCT 'base:' || document_id || '/' || feature_id, geometry FROM base_features
+),
+polygons AS (SELECT origin, json_extract_string(geometry, '$.type') AS type, {parts_of('geometry')} AS parts FROM sent WHERE geometry IS NOT NULL AND json_valid(geometry) AND json_extract_string(geometry, '$.type') IN ('Polygon', 'MultiPolygon')),
+r AS (
+  SELECT 'ring:' || delivery_id AS origin, 0 AS part_no, 0 AS ring_no, geometry_op.ring AS ring FROM m WHERE geometry_op.action = 'add_ring' AND geometry_op.ring IS NOT NULL
+  UNION ALL SELECT origin, CAST(p AS INTEGER), CAST(r AS INTEGER), list(coord ORDER BY k) FROM ({flat('polygons', 'origin')}) GROUP BY origin, p, r
+),
+c AS (SELECT origin, part_no, ring_no, ring, CASE WHEN len(ring) < 3 OR (ring[1][1] = ring[-1][1] AND ring[1][2] = ring[-1][2]) THEN ring ELSE list_append(ring, ring[1]) END AS shut FROM r)"""
+PLACE = "origin, part_no, ring_no"
 
 
 def area(ring: str) -> str:
@@ -180,13 +193,15 @@ SELECT batch_id, count(*) AS sites FROM n LEFT JOIN f USING (document_id, site_i
     "property_values": f"WITH {LOG}, {LIFE}, {WRITES} SELECT document_id, feature_id, property_key, value FROM won SEMI JOIN (SELECT * FROM lives WHERE visible) USING (document_id, feature_id) WHERE NOT gone",
     "geometry_layout": f"WITH {TABLES}, {LIFE} SELECT document_id, feature_id, CASE WHEN len(parts[1][1][1]) = 3 THEN 'XYZ' ELSE 'XY' END AS layout FROM shapes SEMI JOIN (SELECT * FROM lives WHERE visible) USING (document_id, feature_id)",
     "vertex_at_index": f"WITH RECURSIVE s AS ({SQL['structure_view']}) SELECT document_id, feature_id, part_id, ring_id, vertex_id FROM s WHERE \"index\" = 2",
-    "signed_area": f"WITH {RINGS} SELECT delivery_id, round(CASE WHEN len(ring) < 3 THEN 0.0 ELSE {area('ring')} / 2 END, 9) AS area FROM r",
-    "dedup_positions": f"""WITH {RINGS}, d AS (SELECT delivery_id, list_append(ring, ring[len(ring)]) AS ring FROM r)
-SELECT delivery_id, CAST(len(list_filter(range(1, len(ring) + 1), lambda i: i = 1 OR NOT (ring[i][1] = ring[i - 1][1] AND ring[i][2] = ring[i - 1][2]))) AS INTEGER) AS positions FROM d""",
-    "close_ring": f"WITH {RINGS} SELECT delivery_id, CAST(len(shut) AS INTEGER) AS positions, shut[len(shut)][1] AS last_x FROM c",
-    "orient_ring": f"WITH {RINGS}, t AS (SELECT delivery_id, shut, {area('shut')} AS twice FROM c) SELECT delivery_id, CASE WHEN twice > 0 THEN shut[len(shut) - 2][1] ELSE shut[2][1] END AS x, CASE WHEN twice > 0 THEN shut[len(shut) - 2][2] ELSE shut[2][2] END AS y FROM t",
-    "degenerate_ring": f"""WITH {RINGS}, k AS (SELECT delivery_id, list_filter(range(1, len(ring) + 1), lambda i: i = 1 OR NOT (ring[i][1] = ring[i - 1][1] AND ring[i][2] = ring[i - 1][2])) AS kept, ring FROM r)
-SELECT delivery_id, true AS cut, len(kept) - CASE WHEN len(kept) >= 2 AND ring[kept[1]][1] = ring[kept[len(kept)]][1] AND ring[kept[1]][2] = ring[kept[len(kept)]][2] THEN 1 ELSE 0 END < 3 AS whole FROM k""",
+    "signed_area": f"WITH {RINGS} SELECT {PLACE}, round(CASE WHEN len(ring) < 3 THEN 0.0 ELSE {area('ring')} / 2 END, 6) AS area FROM r",
+    "dedup_positions": f"""WITH {RINGS}, d AS (SELECT {PLACE}, list_append(ring, ring[len(ring)]) AS ring FROM r)
+SELECT {PLACE}, CAST(len(list_filter(range(1, len(ring) + 1), lambda i: i = 1 OR NOT (ring[i][1] = ring[i - 1][1] AND ring[i][2] = ring[i - 1][2]))) AS INTEGER) AS positions FROM d""",
+    "close_ring": f"WITH {RINGS} SELECT {PLACE}, CAST(len(shut) AS INTEGER) AS positions, shut[len(shut)][1] AS last_x FROM c",
+    "orient_ring": f"""WITH {RINGS}, t AS (SELECT {PLACE}, shut, {area('shut')} AS twice, len(shut) AS n FROM c)
+SELECT {PLACE}, CASE WHEN twice > 0 THEN shut[n - 2][1] ELSE shut[2][1] END AS x, CASE WHEN twice > 0 THEN shut[n - 2][2] ELSE shut[2][2] END AS y,
+  CASE WHEN twice < 0 THEN shut[n - 2][1] ELSE shut[2][1] END AS outer_x, CASE WHEN twice < 0 THEN shut[n - 2][2] ELSE shut[2][2] END AS outer_y FROM t""",
+    "degenerate_ring": f"""WITH {RINGS}, k AS (SELECT {PLACE}, list_filter(range(1, len(ring) + 1), lambda i: i = 1 OR NOT (ring[i][1] = ring[i - 1][1] AND ring[i][2] = ring[i - 1][2])) AS kept, ring FROM r)
+SELECT {PLACE}, true AS cut, len(kept) - CASE WHEN len(kept) >= 2 AND ring[kept[1]][1] = ring[kept[len(kept)]][1] AND ring[kept[1]][2] = ring[kept[len(kept)]][2] THEN 1 ELSE 0 END < 3 AS whole FROM k""",
 }
 SQL |= {
     "stream_merge": P5_FOUND,
@@ -195,3 +210,106 @@ SQL |= {
   CAST(coalesce(list_sum(list_transform(f.geometry.parts, lambda p: list_sum(list_transform(p.rings, lambda r: len(r.vertices))))), 0) AS BIGINT) AS vertices
 FROM (SELECT id AS snapshot_id, unnest(features) AS f FROM replica_snapshots QUALIFY row_number() OVER (PARTITION BY id) = 1)""",
 }
+
+
+def number(x: str) -> str:
+    """A double as the engine writes it, for the magnitudes that need no exponent."""
+    plain = f"regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '')"
+    return f"CASE WHEN abs({x}) BETWEEN 1e-4 AND 1e15 OR {x} = 0 THEN {plain} END"
+
+
+def position(coord: str) -> str:
+    return f"'[' || array_to_string(list_transform({coord}, lambda x: {number('x')}), ',') || ']'"
+
+
+#: Exported geometries: positions of visible vertices in document order, put together ring by ring.
+EXPORTED = f"""{STRUCTURE},
+shown AS (
+  SELECT o.document_id, o.feature_id, o.part_id, o.ring_id, o.ord, {position('v.coord')} AS text
+  FROM ordered o JOIN vertices v USING (document_id, feature_id, part_id, ring_id, vertex_id) WHERE NOT o.deleted
+),
+lines AS (SELECT document_id, feature_id, part_id, ring_id, string_agg(text, ',' ORDER BY ord) AS body, min_by(text, ord) AS head FROM shown GROUP BY document_id, feature_id, part_id, ring_id),
+ring_texts AS (
+  SELECT r.document_id, r.feature_id, r.part_id, r.pos, r.ts, n.site_id, n.seq, r.part_type, l.head,
+    CASE WHEN l.body IS NULL THEN '[]' WHEN r.part_type = 'Polygon' THEN '[' || l.body || ',' || l.head || ']' ELSE '[' || l.body || ']' END AS text
+  FROM rings r LEFT JOIN lines l USING (document_id, feature_id, part_id, ring_id) LEFT JOIN new_rings n USING (document_id, feature_id, part_id, ring_id)
+  WHERE NOT r.deleted OR r.part_type <> 'Polygon'
+),
+part_texts AS (
+  SELECT document_id, feature_id, part_id, CASE part_type WHEN 'Polygon' THEN '[' || string_agg(text, ',' ORDER BY pos NULLS LAST, ts, site_id, seq) || ']' WHEN 'Point' THEN min(head) ELSE min(text) END AS text
+  FROM ring_texts GROUP BY document_id, feature_id, part_id, part_type
+),
+bodies AS (SELECT p.document_id, p.feature_id, string_agg(t.text, ',' ORDER BY p.part_no) AS body FROM p_no p JOIN part_texts t USING (document_id, feature_id, part_id) GROUP BY p.document_id, p.feature_id),
+exported AS (
+  SELECT s.document_id, s.feature_id, s.type, CAST(coalesce(len(s.parts[1][1][1]), 2) AS INTEGER) AS dims,
+    '{{"type":"' || s.type || '","coordinates":' || CASE WHEN starts_with(s.type, 'Multi') THEN '[' || coalesce(b.body, '') || ']' ELSE b.body END || '}}' AS geometry
+  FROM shapes s LEFT JOIN bodies b USING (document_id, feature_id)
+)"""
+NORMAL = f"""b AS (SELECT DISTINCT document_id, feature_id, geometry FROM base_features),
+shapes AS (SELECT document_id, feature_id, json_extract_string(geometry, '$.type') AS type, {parts_of('geometry')} AS parts FROM b WHERE geometry IS NOT NULL),
+v AS (SELECT * EXCLUDE (coord), {position('coord')} AS text FROM ({flat('shapes', 'document_id, feature_id')})),
+rings AS (
+  SELECT document_id, feature_id, type, p, r, '[' || string_agg(text, ',' ORDER BY k) || CASE WHEN ends_with(type, 'Polygon') THEN ',' || min_by(text, k) ELSE '' END || ']' AS text, min_by(text, k) AS head
+  FROM v GROUP BY document_id, feature_id, type, p, r
+),
+parts AS (
+  SELECT document_id, feature_id, type, p, CASE WHEN ends_with(type, 'Polygon') THEN '[' || string_agg(text, ',' ORDER BY r) || ']' WHEN ends_with(type, 'Point') THEN min(head) ELSE min(text) END AS text
+  FROM rings GROUP BY document_id, feature_id, type, p
+),
+whole AS (SELECT document_id, feature_id, '{{"type":"' || type || '","coordinates":' || CASE WHEN starts_with(type, 'Multi') THEN '[' || string_agg(text, ',' ORDER BY p) || ']' ELSE min(text) END || '}}' AS geometry FROM parts GROUP BY document_id, feature_id, type)"""
+WIRE_GEOMETRY = "type IN ('insert_feature', 'set_geometry') AND geometry IS NOT NULL AND geometry <> '' AND NOT regexp_matches(geometry, '^[ \\t\\r\\n]*null[ \\t\\r\\n]*$')"
+
+
+def _blank(column: str) -> str:
+    return f"NOT coalesce(regexp_matches({column}, '{NOT_SPACE}'), false)"
+
+
+_RANGE = "BETWEEN 1 AND 4611686018427387903"
+_CREATED = " ".join(
+    f"WHEN geometry_op.action = '{action}' AND coalesce(geometry_op.{field}, '') <> '' AND geometry_op.{field} <> '{prefix}:' || site_id || ':' || seq THEN '{field} must be derived from the operation'"
+    for action, (field, prefix) in CREATED.items()
+)
+_EDIT = "type = 'edit_geometry' AND"
+_LACKS = lambda field: f"coalesce(geometry_op.{field}, '') = ''"
+_ACTION = "coalesce(geometry_op.action, '')"
+
+
+def _bad_clock(clock: str) -> str:
+    return f"len(list_filter(map_entries({clock}), lambda e: {_blank('e.key')} OR e.value IS NULL OR e.value < 0 OR e.value >= 4611686018427387904)) > 0"
+
+
+SQL |= {
+    "ring_sizes": f"""WITH {TABLES}
+SELECT r.document_id, r.feature_id, r.part_id, r.ring_id, count(v.vertex_id) FILTER (WHERE NOT v.deleted) AS visible, count(v.vertex_id) AS total
+FROM rings r LEFT JOIN vertices v USING (document_id, feature_id, part_id, ring_id) GROUP BY ALL""",
+    "export_geometry": f"WITH RECURSIVE {EXPORTED} SELECT document_id, feature_id, type, dims, geometry FROM exported",
+    "geometry_from_tables": f"WITH RECURSIVE {EXPORTED} SELECT document_id, feature_id, type, dims, geometry FROM exported",
+    "rebase_base": f"""WITH RECURSIVE {EXPORTED}, {LIFE}, {WRITES},
+held AS (SELECT document_id, feature_id, string_agg(property_key || '=' || coalesce(value, ''), chr(10) ORDER BY property_key) AS properties FROM won WHERE NOT gone GROUP BY document_id, feature_id)
+SELECT l.document_id, l.feature_id, e.geometry, coalesce(h.properties, '') AS properties
+FROM (SELECT * FROM lives WHERE visible) l LEFT JOIN exported e USING (document_id, feature_id) LEFT JOIN held h USING (document_id, feature_id)""",
+    "normalized_geometry": f"WITH {NORMAL} SELECT b.document_id, b.feature_id, w.geometry FROM b LEFT JOIN whole w USING (document_id, feature_id)",
+    "envelope_errors": f"""SELECT CASE {_CREATED}
+  WHEN {_blank('site_id')} THEN 'site_id is required' WHEN NOT coalesce(seq {_RANGE}, false) THEN 'seq is out of range' WHEN NOT coalesce(ts {_RANGE}, false) THEN 'ts is out of range'
+  WHEN {_blank('feature_id')} THEN 'feature_id is required'
+  WHEN coalesce(type, '') NOT IN ({', '.join(f"'{t}'" for t in OP_TYPES)}) THEN 'unknown operation type'
+  WHEN {WIRE_GEOMETRY} AND NOT json_valid(geometry) THEN 'geometry must be JSON'
+  WHEN type = 'insert_feature' AND len(list_filter(map_values(properties), lambda v: coalesce(v, '') = '')) > 0 THEN 'property values must be JSON'
+  WHEN type IN ('set_property', 'delete_property') AND {_blank('property_key')} THEN 'property_key is required'
+  WHEN type = 'set_property' AND NOT coalesce(property_value <> '' AND json_valid(property_value), false) THEN 'property_value must be JSON'
+  WHEN {_EDIT} geometry_op IS NULL THEN 'geometry_op is required'
+  WHEN {_EDIT} {_ACTION} NOT IN ({', '.join(f"'{a}'" for a in ACTIONS)}) THEN 'unknown geometry action'
+  WHEN {_EDIT} {_ACTION} <> 'add_part' AND {_LACKS('part_id')} THEN 'part_id is required'
+  WHEN {_EDIT} {_ACTION} IN ('insert_vertex', 'move_vertex', 'delete_vertex', 'remove_ring') AND {_LACKS('ring_id')} THEN 'ring_id is required'
+  WHEN {_EDIT} {_ACTION} IN ('move_vertex', 'delete_vertex') AND {_LACKS('vertex_id')} THEN 'vertex_id is required'
+  WHEN {_EDIT} {_ACTION} = 'add_ring' AND coalesce(len(geometry_op.ring), 0) = 0 THEN 'ring coordinates are required'
+  WHEN {_EDIT} {_ACTION} = 'add_part' AND {_LACKS('part')} THEN 'a part geometry is required' END AS error, count(*) AS deliveries
+FROM op_messages GROUP BY 1""",
+    "delta_errors": f"""WITH {MESSAGES}, newest AS (SELECT batch_id, max(ts) AS ts FROM m WHERE batch_id IS NOT NULL GROUP BY batch_id)
+SELECT CASE WHEN coalesce(version, 0) <> 3 THEN 'unsupported version' WHEN {_blank('document_id')} THEN 'document_id is required' WHEN {_blank('site_id')} THEN 'site_id is required'
+  WHEN clock IS NULL OR clock < 0 OR clock >= 4611686018427387904 THEN 'clock is out of range'
+  WHEN {_bad_clock('vector_clock')} OR {_bad_clock('compacted')} THEN 'invalid vector clock'
+  WHEN len(list_filter(map_entries(coalesce(compacted, MAP {{}})), lambda e: e.value > coalesce(vector_clock[e.key], 0))) > 0 THEN 'compacted exceeds the vector clock'
+  WHEN n.ts > clock THEN 'an operation is newer than the clock' END AS error, count(*) AS batches
+FROM delta_batches d LEFT JOIN newest n USING (batch_id) GROUP BY 1""",
+}

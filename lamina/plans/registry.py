@@ -14,7 +14,7 @@ PROBLEMS = (
     "p4_found", "p4_counts", "p5_found", "p5_committed",
 )
 LOG = (
-    "generation_winner", "edit_generation_status", "geometry_parts", "ring_order", "vertex_state", "rga_order", "structure_view", "export_geometry", "geometry_from_tables",
+    "generation_winner", "edit_generation_status", "geometry_parts", "ring_order", "vertex_state", "rga_order", "structure_view", "ring_sizes", "export_geometry", "geometry_from_tables",
     "envelope_errors", "identity_collisions", "delta_errors", "op_dedup", "frontier", "staged_ops", "sequence_gaps", "applied_clock", "lamport_clock",
     "delta_since", "clock_merge", "clock_pairs", "compaction_gap", "outbox_pending", "feature_liveness", "property_lww", "property_tombstones",
     "property_values", "visible_features", "geometry_layout", "vertex_at_index", "export_features", "export_feature_collection", "lineage_hash",

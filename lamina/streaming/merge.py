@@ -7,14 +7,15 @@ deliveries leave it as it is and emit nothing.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from lamina.operators.messages import messages
+from lamina.operators.messages import messages, not_blank
 from lamina.operators.replay import CHANGES
 
 OUTPUT = "document_id string, feature_id string, kind string, property_key string, ts bigint, site_id string, seq bigint, gone boolean"
@@ -49,7 +50,8 @@ class Registers(StatefulProcessor):
 
 def writes(stream: DataFrame) -> DataFrame:
     """Register writes of messages: one row per register that an operation touches."""
-    op = messages(stream).where(F.col("type").isin(*CHANGES))
+    single = F.col("type").isin("set_property", "delete_property")
+    op = messages(stream).where(F.col("type").isin(*CHANGES) & (~single | not_blank(F.col("property_key"))))
     entry = lambda kind, key, gone: F.struct(F.lit(kind).alias("kind"), key.alias("property_key"), F.lit(gone).alias("gone"))
     none = F.lit("")
     listed = F.transform(F.map_keys(F.coalesce("properties", F.create_map().cast("map<string,string>"))), lambda k: entry("property", k, False))
@@ -59,7 +61,7 @@ def writes(stream: DataFrame) -> DataFrame:
         .when(F.col("type") == "set_property", F.array(entry("property", F.col("property_key"), False)))
         .otherwise(F.array(entry("property", F.col("property_key"), True)))
     )
-    return op.select("document_id", "feature_id", "ts", "site_id", "seq", F.explode(touched).alias("w")).select("document_id", "feature_id", "ts", "site_id", "seq", "w.*").where("property_key IS NOT NULL")
+    return op.select("document_id", "feature_id", "ts", "site_id", "seq", F.explode(touched).alias("w")).select("document_id", "feature_id", "ts", "site_id", "seq", "w.*")
 
 
 def merge(stream: DataFrame) -> DataFrame:
@@ -91,11 +93,22 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
 
-    spark = stream.sparkSession
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    try:
-        query = merge(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
-        query.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    start(merge(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save)).awaitTermination()
+
+
+_STARTING = threading.Lock()
+
+
+def start(writer: DataStreamWriter) -> StreamingQuery:
+    """Start a query on the RocksDB state store.
+
+    A query takes the session's settings as they are when it starts, so the setting is changed for that moment only.
+    """
+    spark = SparkSession.active()
+    with _STARTING:
+        before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        try:
+            return writer.start()
+        finally:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)

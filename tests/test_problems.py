@@ -194,14 +194,14 @@ def test_takeover_between_check_and_publication_is_seen(spark):
     book, rival = ledger.WorkLedger(spark, "race", clock=lambda: now[0]), ledger.WorkLedger(spark, "race", clock=lambda: now[0])
     book.add(spark.createDataFrame([("x",)], "item_id string"))
     lease = book.claim("a", 10)
-    now[0], publish, taken = 20.0, book._publish, []
+    now[0], publish, taken = 20.0, book.log.publish, []
 
-    def slow(version, events):
+    def slow(*args):
         if not taken:
             taken.append(rival.claim("b", 10))
-        return publish(version, events)
+        return publish(*args)
 
-    book._publish = slow
+    book.log.publish = slow
     with pytest.raises(ledger.StaleWriter):
         book.complete(lease)
     now[0], first = 40.0, taken.pop()
