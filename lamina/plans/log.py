@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from lamina.functions import topology as topo
 from lamina.functions.geojson import normal_geometry, shape
-from lamina.operators import clocks, envelope, export, outcomes, replay, snapshots
+from lamina.operators import clocks, envelope, export, outcomes, replay, single, snapshots
 from lamina.operators import geometry as geo
 from lamina.operators.messages import first_deliveries, messages
 from lamina.session import shared_dir, table
 from lamina.sources import wire
 from lamina.sources.stores import OpStore
+from lamina.streaming import edits
 from lamina.streaming import merge as live
 
 
@@ -225,6 +226,14 @@ def export_feature_collection(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("document_id").agg(body.alias("collection"))
 
 
+def single_geometries(spark: SparkSession, sf: str) -> DataFrame:
+    """Base geometries as single ones, each with its lineage and what the edits of its base generation make of it."""
+    own = F.concat_ws("/", "document_id", "feature_id").alias("geometry_id")
+    bases = _base(spark, sf).where("geometry IS NOT NULL").dropDuplicates(["document_id", "feature_id"]).select(own, "geometry")
+    changes = _log(spark, sf).where("type = 'edit_geometry' AND gen IS NULL").select(own, "site_id", "seq", "ts", "geometry_op")
+    return single.geometries(changes, bases).join(single.lineages(bases), "geometry_id").select("geometry_id", "type", "geometry", "lineage")
+
+
 def lineage_hash(spark: SparkSession, sf: str) -> DataFrame:
     """SHA-256 of each document's base."""
     return geo.base_hashes(_base(spark, sf))
@@ -356,12 +365,23 @@ def rebase_unsafe(spark: SparkSession, sf: str) -> DataFrame:
     return gaps.unionByName(waiting)
 
 
-def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Current properties after the messages came in as a stream."""
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    """op_messages as a stream of files."""
     batch = table(spark, sf, "op_messages")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/op_messages.parquet")
     alone = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()  # a stream reads folders, so a single file is picked from its own
-    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "op_messages.parquet" if alone else "*.parquet").option("maxFilesPerTrigger", 4).parquet(sf if alone else str(path))
-    live.run_available(stream, f"{at}/out", f"{at}/checkpoint")
+    return spark.readStream.schema(batch.schema).option("pathGlobFilter", "op_messages.parquet" if alone else "*.parquet").option("maxFilesPerTrigger", 4).parquet(sf if alone else str(path))
+
+
+def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Current properties after the messages came in as a stream."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    live.run_available(_stream(spark, sf), f"{at}/out", f"{at}/checkpoint")
     return live.settle(spark.read.schema(live.OUTPUT).parquet(f"{at}/out/*"), _base(spark, sf))
+
+
+def stream_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Geometries after the messages came in as a stream."""
+    at = f"{shared_dir(spark)}/edits-{uuid.uuid4().hex}"
+    edits.run_available(_stream(spark, sf), _base(spark, sf), f"{at}/out", f"{at}/checkpoint")
+    return edits.settle(spark.read.schema(edits.OUTPUT).parquet(f"{at}/out/*"), _base(spark, sf))

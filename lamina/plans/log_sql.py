@@ -8,14 +8,17 @@ from lamina.schemas import ACTIONS, OP_TYPES
 #: The op log: first deliveries.
 LOG = f"""{MESSAGES},
 log AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY document_id, site_id, seq ORDER BY delivery_id) = 1)"""
+#: The winning generation of each feature, and, for geometries edited by themselves, the base alone.
+WIN = """win AS (SELECT document_id, feature_id, gen_site, gen_seq, ts AS gen_ts, geometry FROM gens
+  QUALIFY row_number() OVER (PARTITION BY document_id, feature_id ORDER BY ts DESC, gen_site DESC, gen_seq DESC) = 1)"""
+BASE_ONLY = "win AS (SELECT document_id, feature_id, gen_site, gen_seq, ts AS gen_ts, geometry FROM gens WHERE gen_seq = 0 AND geometry IS NOT NULL)"
 GENS = f"""{LOG},
 base AS (SELECT DISTINCT document_id, feature_id, geometry FROM base_features),
 gens AS (
   SELECT document_id, feature_id, site_id AS gen_site, seq AS gen_seq, ts, geometry FROM log WHERE type IN ('insert_feature', 'set_geometry')
   UNION ALL SELECT document_id, feature_id, '', 0, 0, geometry FROM base
 ),
-win AS (SELECT document_id, feature_id, gen_site, gen_seq, ts AS gen_ts, geometry FROM gens
-  QUALIFY row_number() OVER (PARTITION BY document_id, feature_id ORDER BY ts DESC, gen_site DESC, gen_seq DESC) = 1)"""
+{WIN}"""
 
 
 def parts_of(text: str) -> str:
@@ -284,6 +287,9 @@ SELECT r.document_id, r.feature_id, r.part_id, r.ring_id, count(v.vertex_id) FIL
 FROM rings r LEFT JOIN vertices v USING (document_id, feature_id, part_id, ring_id) GROUP BY ALL""",
     "export_geometry": f"WITH RECURSIVE {EXPORTED} SELECT document_id, feature_id, type, dims, geometry FROM exported",
     "geometry_from_tables": f"WITH RECURSIVE {EXPORTED} SELECT document_id, feature_id, type, dims, geometry FROM exported",
+    "single_geometries": f"""SELECT e.document_id || '/' || e.feature_id AS geometry_id, e.type, e.geometry, sha256(n.geometry) AS lineage
+FROM (WITH RECURSIVE {EXPORTED.replace(WIN, BASE_ONLY)} SELECT * FROM exported) e JOIN (WITH {NORMAL} SELECT * FROM whole) n USING (document_id, feature_id)""",
+    "stream_edits": f"WITH RECURSIVE {EXPORTED} SELECT document_id, feature_id, geometry FROM exported",
     "rebase_base": f"""WITH RECURSIVE {EXPORTED}, {LIFE}, {WRITES},
 held AS (SELECT document_id, feature_id, string_agg(property_key || '=' || coalesce(value, ''), chr(10) ORDER BY property_key) AS properties FROM won WHERE NOT gone GROUP BY document_id, feature_id)
 SELECT l.document_id, l.feature_id, e.geometry, coalesce(h.properties, '') AS properties

@@ -17,9 +17,9 @@ LOG = (
     "generation_winner", "edit_generation_status", "geometry_parts", "ring_order", "vertex_state", "rga_order", "structure_view", "ring_sizes", "export_geometry", "geometry_from_tables",
     "envelope_errors", "identity_collisions", "delta_errors", "op_dedup", "frontier", "staged_ops", "sequence_gaps", "applied_clock", "lamport_clock",
     "delta_since", "clock_merge", "clock_pairs", "compaction_gap", "outbox_pending", "feature_liveness", "property_lww", "property_tombstones",
-    "property_values", "visible_features", "geometry_layout", "vertex_at_index", "export_features", "export_feature_collection", "lineage_hash",
+    "property_values", "visible_features", "geometry_layout", "vertex_at_index", "export_features", "export_feature_collection", "lineage_hash", "single_geometries",
     "signed_area", "dedup_positions", "close_ring", "orient_ring", "degenerate_ring", "polygon_validity", "polygon_repair", "normalized_geometry",
-    "merge_outcomes", "merge_tally", "snapshot_violations", "snapshot_state", "op_store", "delta_wire", "rebase_base", "rebase_unsafe", "stream_merge",
+    "merge_outcomes", "merge_tally", "snapshot_violations", "snapshot_state", "op_store", "delta_wire", "rebase_base", "rebase_unsafe", "stream_merge", "stream_edits",
 )
 
 

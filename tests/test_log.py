@@ -1,6 +1,7 @@
 """The log's operators: against SQL, against the document replica, and on edge cases."""
 
 import json
+import random
 
 import pytest
 from compare import spark_rows, sql_rows, views
@@ -13,12 +14,19 @@ from lamina.operators import clocks, envelope, export, outcomes, replica
 from lamina.operators import geometry as geo
 from lamina.operators.messages import first_deliveries
 from lamina.plans import log, log_sql
-from lamina.schemas import BASE_DDL
+from lamina.schemas import ACTIONS, BASE_DDL
 from lamina.sources import wire
 from lamina.sources.stores import OpStore, SnapshotStore
+from lamina.streaming import edits
 from lamina.streaming import merge as live
 
 
+@pytest.fixture(scope="module")
+def sf():
+    """Large enough for every action on every geometry type to occur."""
+    return "/root/testdata/sf0.01"
+
+
 @pytest.mark.parametrize("name", sorted(log_sql.SQL))
 def test_sql(spark, sf, name):
     assert spark_rows(getattr(log, name)(spark, sf)) == sql_rows(views(sf), log_sql.SQL[name])
@@ -49,6 +57,92 @@ def test_fold_agrees_with_tables(spark, sf):
     assert spark_rows(log.export_geometry(spark, sf)) == spark_rows(log.geometry_from_tables(spark, sf))
 
 
+SHAPES = {
+    "Point": "[3,1]", "LineString": "[[3,1],[8,2],[6,9]]", "Polygon": "[[[0,0],[30,0],[30,30],[0,0]],[[9,5],[20,9],[12,5],[9,5]]]",
+    "MultiPoint": "[[3,1],[4,4]]", "MultiLineString": "[[[3,1],[8,2]],[[6,9],[7,7]]]", "MultiPolygon": "[[[[0,0],[30,0],[30,30],[0,0]],[[9,5],[20,9],[12,5],[9,5]]],[[[50,50],[60,50],[60,60],[50,50]]]]",
+}
+
+
+def test_every_action_on_every_type(spark):
+    """Fold, tables and replica agree on random edits, fitting or not, of all six types."""
+    rng, rows, n = random.Random(12), [], 0
+    for kind, coordinates in SHAPES.items():
+        for copy in range(4):
+            feature, n = f"{kind}{copy}", n + 1
+            gen, parts, rings = dict(site_id="s", seq=n), ["part:0", "part:1", "part:9"], ["ring:0:0", "ring:0:1", "ring:1:0"]
+            rows.append(message(n, type="insert_feature", feature_id=feature, geometry=f'{{"type":"{kind}","coordinates":{coordinates}}}'))
+            vertices = [f"init:{r}:{k}" for r in (0, 1) for k in range(3)]
+            for _ in range(40):
+                n += 1
+                action, part, ring, at = rng.choice(ACTIONS), rng.choice(parts), rng.choice(rings), [float(rng.randint(0, 40)) for _ in range(rng.choice([2, 2, 2, 3]))]
+                e = EDIT | dict(action=action, part_id=None if action == "add_part" else part)
+                if action in ("insert_vertex", "move_vertex", "delete_vertex", "remove_ring"):
+                    e |= dict(ring_id=ring)
+                if action == "insert_vertex":
+                    e |= dict(after_vertex_id=rng.choice([None, *vertices]), coord=at)
+                    vertices.append(f"op:s:{n}")
+                elif action in ("move_vertex", "delete_vertex"):
+                    e |= dict(vertex_id=rng.choice(vertices), coord=at if action == "move_vertex" else None)
+                elif action == "add_ring":
+                    e |= dict(ring=rng.choice([[at, [1.0, 2.0], [2.0, 1.0], at], [at, at]]))
+                    rings.append(f"ring:s:{n}")
+                    vertices.append(f"v:s:{n}:0")
+                elif action == "add_part":
+                    single = kind.removeprefix("Multi")
+                    e |= dict(part=f'{{"type":"{rng.choice([single, "Point"])}","coordinates":{SHAPES[single]}}}')
+                    parts.append(f"part:s:{n}")
+                    rings.append(f"ring:s:{n}:0")
+                    vertices.append(f"v:s:{n}:0:1")
+                rows.append(message(n, type="edit_geometry", feature_id=feature, gen=gen, geometry_op=e))
+    rng.shuffle(rows)
+    frames = first_deliveries(frame(spark, rows)), frame(spark, [], BASE_DDL)
+    fold = {r.feature_id: r.geometry for r in export.geometries(*frames).collect()}
+    tables = {r.feature_id: r.geometry for r in geo.geometries(geo.Tables(*frames)).collect()}
+    r = replica.Replica("d", "reader")
+    r.merge_ops("d", rows)
+    assert fold == tables == {f: r.feature(f)[0] for f in r.visible_ids()} and len(fold) == 24
+    seen = {(x.feature_id, x.part_id, x.ring_id, x.vertex_id) for x in geo.visible_vertices(geo.Tables(*frames)).collect()}
+    assert seen == {(f, p["id"], g["id"], v) for f in r.visible_ids() for p in r.geometry_info(f) for g in p["rings"] for v, _ in g["vertices"]}
+
+
+def test_stream_of_edits_waits_and_releases(spark, tmp_path):
+    """Edits arrive before their generation, ring and vertex, in separate micro-batches; each is settled once."""
+    gen, kite = dict(site_id="s", seq=1), '{"type":"Polygon","coordinates":[[[3,1],[8,2],[6,9],[-1,5],[3,1]]]}'
+    edit = lambda n, action, **f: message(n, type="edit_geometry", gen=gen, geometry_op=EDIT | dict(action=action, part_id="part:0") | f)
+    ring = edit(2, "add_ring", ring=[[4.0, 3.0], [4.0, 4.0], [5.0, 4.0]])
+    insert = edit(3, "insert_vertex", ring_id="ring:s:2", after_vertex_id="v:s:2:0", coord=[4.0, 3.5])
+    move = edit(4, "move_vertex", ring_id="ring:s:2", vertex_id="op:s:3", coord=[4.1, 3.5])
+    based = message(5, type="edit_geometry", feature_id="old", geometry_op=EDIT | dict(action="move_vertex", part_id="part:0", ring_id="ring:0:0", vertex_id="init:0:0", coord=[9.0, 9.0]))
+    base = frame(spark, [("d", "old", '{"type":"Point","coordinates":[1,2]}', None), ("d", "still", '{"type":"Point","coordinates":[5.0,6]}', None), ("d", "odd", "{", None)], BASE_DDL)
+    schema = frame(spark, []).schema
+    for i, part in enumerate([[move, insert], [move, ring, based], [message(1, type="insert_feature", geometry=kite)], [insert, ring, based]]):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        edits.run_available(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), base, str(tmp_path / f"out{i}"), str(tmp_path / "state"))
+    changes = spark.read.schema(edits.OUTPUT).parquet(*[str(p) for p in tmp_path.glob("out*/batch=*")])
+    got = {}
+    for r in changes.where("kind = 'outcome'").orderBy("version").collect():
+        got.setdefault(r.seq, []).append(r.outcome)
+    assert got == {1: ["applied"], 2: ["buffered", "applied", "duplicate"], 3: ["buffered", "applied", "duplicate"], 4: ["buffered", "applied"], 5: ["applied", "superseded"]}
+    assert {r.feature_id: r.geometry for r in edits.settle(changes, base).collect()} == {
+        "f": '{"type":"Polygon","coordinates":[[[3,1],[8,2],[6,9],[-1,5],[3,1]],[[4,3],[4.1,3.5],[4,4],[5,4],[4,3]]]}', "old": '{"type":"Point","coordinates":[9,9]}', "still": '{"type":"Point","coordinates":[5,6]}',
+    }
+
+
+def test_embedded_identity(spark):
+    rows = frame(spark, [message(1, type="edit_geometry", geometry_op=EDIT | dict(action="remove_part", part_id="p")), message(2)])
+    wide = envelope.inherit_identity(rows)
+    assert [(r.geometry_op and (r.geometry_op.action, r.geometry_op.site_id, r.geometry_op.seq, r.geometry_op.ts)) for r in wide.orderBy("seq").collect()] == [("remove_part", "s", 1, 1), None]
+    assert spark_rows(envelope.strip_identity(envelope.inherit_identity(wide))) == spark_rows(rows)
+
+
+def test_delta_metadata(spark):
+    good = dict(batch_id=1, version=3, document_id="d", site_id="s", clock=5, vector_clock={"s": 4}, compacted={"s": 4})
+    deltas = spark.createDataFrame([good, good | dict(batch_id=2, compacted={"s": 5}), good | dict(batch_id=3, compacted={"t": 1}), good | dict(batch_id=4), good | dict(batch_id=5, compacted=None, vector_clock=None), good | dict(batch_id=6, version=2)], "batch_id bigint, version int, document_id string, site_id string, clock bigint, vector_clock map<string,bigint>, compacted map<string,bigint>")
+    rows = frame(spark, [message(1, batch_id=1, ts=5), message(2, batch_id=4, ts=6), message(3, batch_id=4, ts=1)])
+    got = {r.batch_id: r.error for r in envelope.judged_deltas(deltas, rows).collect()}
+    assert got == {1: None, 2: "compacted exceeds the vector clock", 3: "compacted exceeds the vector clock", 4: "an operation is newer than the clock", 5: None, 6: "unsupported version"}
+
+
 def test_outcomes_agree_with_replicas(spark, sf, replicas):
     got = {(r.document_id, r.outcome): r.ops for r in outcomes.tally(first_deliveries(spark.read.parquet(f"{sf}/op_messages.parquet")).withColumn("batch_id", F.lit(1)), log._log(spark, sf), log._base(spark, sf)).collect()}
     want = {}

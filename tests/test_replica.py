@@ -12,6 +12,7 @@ from lamina.functions import geojson
 from lamina.functions.canon import canonical, float_text, loads, write
 from lamina.operators import replica as rp
 from lamina.operators.replica import Replica
+from lamina.operators.single import GeometryReplica
 from lamina.operators.snapshots import violations
 from lamina.sources import wire
 
@@ -158,6 +159,38 @@ def test_snapshot_restore_and_validation():
     assert violations(swapped)
 
 
+def test_single_geometries():
+    spaced = KITE.replace(",", " , ").replace("8", "8.0")
+    a, b = GeometryReplica("a", KITE), GeometryReplica(" b ", spaced)
+    assert a.lineage == b.lineage and b.site_id == "b" and a.layout() == "XY"
+    first = a.apply(rp.insert_vertex(*RING, "init:0:0", [4.0, 0.0]))
+    second = a.apply(rp.move_vertex(*RING, first["vertex_id"], [4.5, 0.5]))
+    assert first["vertex_id"] == "op:a:1" == a.vertex_at(*RING, 1) and (second["seq"], second["ts"]) == (2, 2)
+    assert b.merge_ops([second]).buffered == [("a", 2)]  # it waits for its vertex
+    assert b.merge_ops([first]).applied == 2 and b.merge(a).duplicates == 2 and b.geometry() == a.geometry()
+    b.apply(rp.delete_vertex(*RING, "init:0:2"))
+    a.merge(b)
+    assert a.geometry() == b.geometry() == '{"type":"Polygon","coordinates":[[[3,1],[4.5,0.5],[8,2],[-1,5],[3,1]]]}'
+    assert a.clock == b.clock == 3 and a.merge(a).duplicates == 0 and len(a.info()[0]["rings"][0]["vertices"]) == 4
+    ops, mark = a.pending_ops()
+    assert [o["seq"] for o in ops] == [1, 2]
+    a.mark_synced(mark)
+    assert a.pending_ops() == ([], 2)
+    with pytest.raises(errors.InvalidSyncState):
+        a.mark_synced(3)
+    with pytest.raises(errors.InvalidSyncState):
+        a.merge_ops([second | {"seq": 9}])  # its own name, but not its own history
+    with pytest.raises(errors.IdentityCollision):
+        b.merge_ops([second | {"coord": [0.0, 0.0]}])
+    with pytest.raises(errors.InvalidCommand):
+        a.apply(rp.remove_part("part:0"))
+    with pytest.raises(errors.BaseMismatch):
+        a.merge(GeometryReplica("c", '{"type":"Point","coordinates":[1,2]}'))
+    for text in ("", "null", '{"type":"Point"}'):
+        with pytest.raises(errors.InvalidGeometry):
+            GeometryReplica("c", text)
+
+
 def test_rebase():
     a, b = pair()
     for refuse in (lambda: a.rebase("doc", a.vector_clock(), "s"), lambda: a.rebase("new", {}, "s"), lambda: a.rebase("new", a.vector_clock(), "s")):
