@@ -244,9 +244,9 @@ def visible_vertices(t: Tables) -> DataFrame:
 def ring_sizes(t: Tables) -> DataFrame:
     """RING, visible, total: vertices of each ring that aren't deleted, and all, tombstones included. Deleted rings have their row too.
 
-    Counts are combined map-side, so a ring of any length is one row per map task.
+    Insertions that still wait for their predecessor don't count. Counts are combined map-side.
     """
-    counts = t.vertices.groupBy(*RING).agg(F.count(F.when(~F.col("deleted"), 1)).alias("visible"), F.count(F.lit(1)).alias("total"))
+    counts = t.ordered().groupBy(*RING).agg(F.count(F.when(~F.col("deleted"), 1)).alias("visible"), F.count(F.lit(1)).alias("total"))
     zero = F.lit(0).cast("bigint")
     return t.rings.select(*RING).join(counts, list(RING), "left").select(*RING, F.coalesce("visible", zero).alias("visible"), F.coalesce("total", zero).alias("total"))
 

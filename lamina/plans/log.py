@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import topology as topo
 from lamina.functions.geojson import normal_geometry, shape
-from lamina.operators import clocks, envelope, export, outcomes, replay, single, snapshots
+from lamina.operators import clocks, envelope, export, outcomes, replay, single, snapshots, state
 from lamina.operators import geometry as geo
 from lamina.operators.messages import first_deliveries, messages
 from lamina.session import shared_dir, table
@@ -333,6 +333,21 @@ def snapshot_state(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("snapshot_id", F.col("f.id").alias("feature_id"), F.col("f.base").alias("base"), F.col("f.create_reg.ts").alias("created_ts"), F.col("f.delete_reg.ts").alias("deleted_ts"), F.col("f.geometry.type").alias("type"), vertices.alias("vertices"))
 
 
+def state_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of all documents after two merges, one of the even and one of the odd numbers: registers and trees, summed up."""
+    log = _log(spark, sf)
+    half = state.advance(state.of_base(_base(spark, sf)), log.where("seq % 2 = 0"))
+    return state.summary(state.advance(half, log.where("seq % 2 = 1")))
+
+
+def delta_refusals(spark: SparkSession, sf: str) -> DataFrame:
+    """Deltas by the reason for which a receiver of the whole log, named as the first site, refuses them."""
+    rows = messages(table(spark, sf, "op_messages"))
+    heads = table(spark, sf, "replica_snapshots").groupBy("document_id").agg(F.min("base_hash").alias("base_hash"))
+    found = state.refusals(table(spark, sf, "delta_batches"), rows, heads, clocks.frontier_of(rows), "reader")
+    return found.groupBy("refused").agg(F.count(F.lit(1)).alias("batches"))
+
+
 def op_store(spark: SparkSession, sf: str) -> DataFrame:
     """The log appended to a store twice and scanned beyond the least clock sent."""
     store = OpStore(spark, f"{shared_dir(spark)}/op_store-{uuid.uuid4().hex}")

@@ -282,9 +282,9 @@ def _bad_clock(clock: str) -> str:
 
 
 SQL |= {
-    "ring_sizes": f"""WITH {TABLES}
+    "ring_sizes": f"""WITH RECURSIVE {ORDERED}
 SELECT r.document_id, r.feature_id, r.part_id, r.ring_id, count(v.vertex_id) FILTER (WHERE NOT v.deleted) AS visible, count(v.vertex_id) AS total
-FROM rings r LEFT JOIN vertices v USING (document_id, feature_id, part_id, ring_id) GROUP BY ALL""",
+FROM rings r LEFT JOIN ordered v USING (document_id, feature_id, part_id, ring_id) GROUP BY ALL""",
     "export_geometry": f"WITH RECURSIVE {EXPORTED} SELECT document_id, feature_id, type, dims, geometry FROM exported",
     "geometry_from_tables": f"WITH RECURSIVE {EXPORTED} SELECT document_id, feature_id, type, dims, geometry FROM exported",
     "single_geometries": f"""SELECT e.document_id || '/' || e.feature_id AS geometry_id, e.type, e.geometry, sha256(n.geometry) AS lineage
@@ -311,6 +311,11 @@ FROM (SELECT * FROM lives WHERE visible) l LEFT JOIN exported e USING (document_
   WHEN {_EDIT} {_ACTION} = 'add_ring' AND coalesce(len(geometry_op.ring), 0) = 0 THEN 'ring coordinates are required'
   WHEN {_EDIT} {_ACTION} = 'add_part' AND {_LACKS('part')} THEN 'a part geometry is required' END AS error, count(*) AS deliveries
 FROM op_messages GROUP BY 1""",
+    "state_table": f"""WITH RECURSIVE {ORDERED}, {LIFE},
+held AS (SELECT DISTINCT document_id, feature_id FROM log WHERE type <> 'edit_geometry' UNION SELECT document_id, feature_id FROM base_features),
+counts AS (SELECT document_id, feature_id, count(*) AS n FROM ordered GROUP BY document_id, feature_id)
+SELECT h.document_id, h.feature_id, coalesce(l.is_base, false) AS base, l.created[1] AS created_ts, l.deleted[1] AS deleted_ts, s.type, coalesce(c.n, 0) AS vertices
+FROM held h LEFT JOIN life l USING (document_id, feature_id) LEFT JOIN shapes s USING (document_id, feature_id) LEFT JOIN counts c USING (document_id, feature_id)""",
     "delta_errors": f"""WITH {MESSAGES}, newest AS (SELECT batch_id, max(ts) AS ts FROM m WHERE batch_id IS NOT NULL GROUP BY batch_id)
 SELECT CASE WHEN coalesce(version, 0) <> 3 THEN 'unsupported version' WHEN {_blank('document_id')} THEN 'document_id is required' WHEN {_blank('site_id')} THEN 'site_id is required'
   WHEN clock IS NULL OR clock < 0 OR clock >= 4611686018427387904 THEN 'clock is out of range'

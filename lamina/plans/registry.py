@@ -19,7 +19,7 @@ LOG = (
     "delta_since", "clock_merge", "clock_pairs", "compaction_gap", "outbox_pending", "feature_liveness", "property_lww", "property_tombstones",
     "property_values", "visible_features", "geometry_layout", "vertex_at_index", "export_features", "export_feature_collection", "lineage_hash", "single_geometries",
     "signed_area", "dedup_positions", "close_ring", "orient_ring", "degenerate_ring", "polygon_validity", "polygon_repair", "normalized_geometry",
-    "merge_outcomes", "merge_tally", "snapshot_violations", "snapshot_state", "op_store", "delta_wire", "rebase_base", "rebase_unsafe", "stream_merge", "stream_edits",
+    "merge_outcomes", "merge_tally", "snapshot_violations", "snapshot_state", "state_table", "delta_refusals", "op_store", "delta_wire", "rebase_base", "rebase_unsafe", "stream_merge", "stream_edits",
 )
 
 

@@ -10,7 +10,7 @@ from test_problems import EDIT, T0, frame, message
 
 from lamina import errors
 from lamina.functions import geojson
-from lamina.operators import clocks, envelope, export, outcomes, replica
+from lamina.operators import clocks, envelope, export, outcomes, replica, state
 from lamina.operators import geometry as geo
 from lamina.operators.messages import first_deliveries
 from lamina.plans import log, log_sql
@@ -63,6 +63,36 @@ SHAPES = {
 }
 
 
+def test_state_advances_in_any_steps(spark, sf, replicas):
+    """The state table in three merges of a shuffled log, overlapping, gives what each replica's snapshot holds."""
+    ops, base = log._log(spark, sf), log._base(spark, sf)
+    third = F.pmod(F.xxhash64("site_id", "seq"), F.lit(3))
+    now = state.of_base(base)
+    for steps in ([0], [2], [1, 2]):
+        now = state.advance(now, ops.where(third.isin(steps)))
+    rows = now.where("document_id <> 'shared-base-map'").collect()
+    got, waiting = {}, {}
+    for r in rows:
+        if r.feature is not None:
+            got.setdefault(r.document_id, {})[r.feature_id] = r.feature.asDict(recursive=True)
+        waiting.setdefault(r.document_id, set()).update((p.site_id, p.seq) for p in r.pending)
+    for document in list(got)[::4]:
+        snap = replicas[document][0].snapshot("s")
+        assert got[document] == {f["id"]: f for f in snap["features"]}, document
+        assert {(p["site_id"], p["seq"]) for p in snap["pending_ops"]} <= waiting[document]
+
+
+def test_refusals(spark):
+    good = dict(batch_id=1, version=3, document_id="d", site_id="t", base_hash="h", clock=9, vector_clock={"t": 4}, compacted=None)
+    changes = [{}, dict(version=1), dict(document_id="x"), dict(base_hash="y"), dict(batch_id=5), dict(compacted={"t": 3}), dict(compacted={"t": 2})]
+    deltas = spark.createDataFrame([good | dict(batch_id=i) | c for i, c in enumerate(changes, 1)], "batch_id bigint, version int, document_id string, site_id string, base_hash string, clock bigint, vector_clock map<string,bigint>, compacted map<string,bigint>")
+    rows = frame(spark, [message(3, batch_id=5, site_id="me"), message(2, batch_id=7, site_id="me")])
+    heads = spark.createDataFrame([("d", "h")], "document_id string, base_hash string")
+    known = spark.createDataFrame([("d", "t", 2, 2), ("d", "me", 2, 2)], "document_id string, site_id string, frontier bigint, highest bigint")
+    got = {r.batch_id: r.refused for r in state.refusals(deltas, rows, heads, known, "me").collect()}
+    assert got == {1: None, 2: "unsupported version", 3: "DocumentMismatch", 4: "BaseMismatch", 5: "InvalidOp", 6: "CompactionGap", 7: None}
+
+
 def test_every_action_on_every_type(spark):
     """Fold, tables and replica agree on random edits, fitting or not, of all six types."""
     rng, rows, n = random.Random(12), [], 0
