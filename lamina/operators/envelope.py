@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lamina.errors import IdentityCollision, InvalidOp
 from lamina.functions.canon import CREATED, is_json
 from lamina.operators.clocks import covered
-from lamina.operators.dedupe import digests
-from lamina.operators.messages import IDENTITY, messages, not_blank, well_numbered
+from lamina.operators.dedupe import contested, digests
+from lamina.operators.messages import IDENTITY, not_blank, well_numbered
 from lamina.schemas import ACTIONS, COUNTER_BOUND, OP_TYPES, WIRE_VERSION
 
 
@@ -82,11 +82,9 @@ def require_valid(batch: DataFrame) -> DataFrame:
 def collisions(rows: DataFrame) -> DataFrame:
     """Identities under which different contents were delivered: (document_id, site_id, seq, contents).
 
-    Identities that came once can't collide; only the others are digested.
+    Identities that came once can't collide; only the others, as dedupe.contested finds them, are digested.
     """
-    again = messages(rows).groupBy(*IDENTITY).count().where("count > 1").select(*IDENTITY)
-    repeated = messages(rows).join(again, list(IDENTITY), "left_semi")
-    variants = digests(repeated).select(*IDENTITY, "digest").distinct()
+    variants = digests(contested(rows)).select(*IDENTITY, "digest").distinct()
     return variants.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
 
 

@@ -128,3 +128,13 @@ def next_base(op: DataFrame, base: DataFrame) -> DataFrame:
     shown = geometries(op, base).select(*FEATURE, "geometry")
     held = property_values(op, base).groupBy(*FEATURE).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("property_key", "value")))).alias("properties"))
     return alive.join(shown, list(FEATURE), "left").join(held, list(FEATURE), "left")
+
+
+def write_features(rows: DataFrame, path: str) -> None:
+    """Write features() as GeoJSON, one Feature per line, in folders by document; within and across a folder's files by feature id.
+
+    A document of any size is spread over many files; the FeatureCollection text of a document, which is one value, is
+    bounded by what a row can hold (2 GB). Features are compared bytewise.
+    """
+    placed = rows.select(F.sha2("document_id", 256).alias("document"), *FEATURE, "feature").repartitionByRange("document", "feature_id").sortWithinPartitions("document", "feature_id")
+    placed.select("document", "feature").write.mode("overwrite").partitionBy("document").text(path)

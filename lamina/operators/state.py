@@ -8,12 +8,9 @@ group of its own, whose size is that of the feature and its new operations.
 
 from __future__ import annotations
 
-from typing import Any
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lamina import errors
@@ -23,24 +20,11 @@ from lamina.operators.envelope import judged_deltas
 from lamina.operators.replica import Replica, _feature_in, _feature_out, _holds, ref_of
 from lamina.operators.snapshots import _plain
 from lamina.schemas import FEATURE as FEATURE_DDL
-from lamina.schemas import GEOMETRY_OP, OP_COLUMNS, REF
+from lamina.schemas import OP_COLUMNS, OP_STRUCT
+from lamina.sources.wire import packed
 
 FEATURE = ("document_id", "feature_id")
-_OP = f"struct<type:string,site_id:string,seq:bigint,ts:bigint,feature_id:string,geometry:string,properties:map<string,string>,property_key:string,property_value:string,gen:{REF},geometry_op:{GEOMETRY_OP}>"
-STATE_DDL = f"document_id string, feature_id string, feature {FEATURE_DDL}, pending array<{_OP}>"
-
-
-def _packed(value: Any, kind: T.DataType) -> Any:
-    """Dictionaries of map columns as pairs, as Arrow takes them."""
-    if value is None:
-        return None
-    if isinstance(kind, T.StructType):
-        return {f.name: _packed(value.get(f.name), f.dataType) for f in kind}
-    if isinstance(kind, T.MapType):
-        return [(k, _packed(v, kind.valueType)) for k, v in value.items()]
-    if isinstance(kind, T.ArrayType):
-        return [_packed(v, kind.elementType) for v in value]
-    return value
+STATE_DDL = f"document_id string, feature_id string, feature {FEATURE_DDL}, pending array<{OP_STRUCT}>"
 
 
 def of_base(base: DataFrame) -> DataFrame:
@@ -53,7 +37,7 @@ def of_base(base: DataFrame) -> DataFrame:
             out = []
             for row in batch.to_pylist():
                 own = Replica("d", "state", [(row["feature_id"], row["geometry"], dict(row["properties"] or ()))]).features[row["feature_id"]]
-                out.append(_packed({"document_id": row["document_id"], "feature_id": row["feature_id"], "feature": _feature_out(row["feature_id"], own), "pending": []}, kind))
+                out.append(packed({"document_id": row["document_id"], "feature_id": row["feature_id"], "feature": _feature_out(row["feature_id"], own), "pending": []}, kind))
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     once = base.where("document_id IS NOT NULL AND feature_id IS NOT NULL").dropDuplicates(list(FEATURE))
@@ -88,7 +72,7 @@ def advance(state: DataFrame, op: DataFrame) -> DataFrame:
                         waiting.pop(ref_of(own), None)
         own = replica.features.get(name)
         out = {"document_id": document, "feature_id": name, "feature": _feature_out(name, own) if own and _holds(own) else None, "pending": sorted(waiting.values(), key=stamp_of)}
-        keep = [_packed(out, kind)] if out["feature"] or out["pending"] else []
+        keep = [packed(out, kind)] if out["feature"] or out["pending"] else []
         return pa.Table.from_pylist(keep, schema=arrow)
 
     new = op.select("document_id", *OP_COLUMNS)

@@ -30,6 +30,13 @@ FEATURE = (
     f"struct<id:string,base:boolean,create_reg:{STAMP},delete_reg:{STAMP},gen_id:{REF},gen_stamp:{STAMP},"
     f"seen_gens:array<{REF}>,properties:map<string,{PROPERTY}>,geometry:{GEOMETRY}>"
 )
+#: One operation as a struct.
+OP_STRUCT = "struct<" + ",".join(f.replace(" ", ":", 1) for f in OP_FIELDS.split(", ")) + ">"
+#: One snapshot as a row.
+SNAPSHOT_DDL = (
+    "version int, id string, document_id string, site_id string, base_hash string, clock bigint, vector_clock map<string,bigint>, applied map<string,bigint>, "
+    f"synced_through bigint, outbox_ops array<{OP_STRUCT}>, retained_ops array<{OP_STRUCT}>, pending_ops array<{OP_STRUCT}>, features array<{FEATURE}>"
+)
 
 OP_TYPES = ("insert_feature", "delete_feature", "set_geometry", "set_property", "delete_property", "edit_geometry")
 ACTIONS = ("insert_vertex", "move_vertex", "delete_vertex", "add_ring", "remove_ring", "add_part", "remove_part")

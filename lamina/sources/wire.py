@@ -7,10 +7,11 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamina import errors
 from lamina.functions.canon import Lexeme, loads, quoted, write
-from lamina.schemas import OPS_DDL
+from lamina.schemas import OPS_DDL, SNAPSHOT_DDL, WIRE_VERSION
 
 #: Members of each wire type, in order: name, kind of value, whether an empty value is left out. Fixed by the protocol.
 TYPES: dict[str, list[tuple[str, str, bool]]] = {
@@ -128,7 +129,7 @@ def read_deltas(spark: SparkSession, path: str) -> DataFrame:
             ops = []
             for text in batch.column("value").to_pylist():
                 delta = load(text, "delta")
-                if delta["version"] != 3:
+                if delta["version"] != WIRE_VERSION:
                     raise errors.UnsupportedVersion(str(delta["version"]))
                 ops += [op | {"document_id": delta["document_id"], "properties": list((op["properties"] or {}).items()) or None} for op in delta["ops"]]
             yield pa.RecordBatch.from_pylist(ops, schema=schema)
@@ -140,13 +141,46 @@ def read_deltas(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInArrow(rows, kind)
 
 
+def packed(value: Any, kind: T.DataType) -> Any:
+    """Dictionaries of map columns as pairs, as Arrow takes them; members that a type doesn't have are dropped."""
+    if value is None:
+        return None
+    if isinstance(kind, T.StructType):
+        return {f.name: packed(value.get(f.name), f.dataType) for f in kind}
+    if isinstance(kind, T.MapType):
+        return [(k, packed(v, kind.valueType)) for k, v in value.items()]
+    if isinstance(kind, T.ArrayType):
+        return [packed(v, kind.elementType) for v in value]
+    return value
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshot files (one JSON document each) as rows of SNAPSHOT_DDL.
+
+    A file is one value and so one row; files are read in parallel. Malformed files fail the read with the reason, and so
+    do those of another version; whether a snapshot keeps the structural rules is judged by snapshots.judged.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = spark.createDataFrame([], SNAPSHOT_DDL).schema
+    schema = to_arrow_schema(kind)
+
+    def rows(batches):
+        for batch in batches:
+            for text in batch.column("value").to_pylist():
+                value = load(text, "snapshot")
+                if value["version"] != WIRE_VERSION:
+                    raise errors.UnsupportedVersion(str(value["version"]))
+                yield pa.RecordBatch.from_pylist([packed(value, kind)], schema=schema)
+
+    return spark.read.text(path, wholetext=True).mapInArrow(rows, kind)
+
+
 def delta_rows(op: DataFrame, envelopes: DataFrame) -> DataFrame:
     """(document_id, delta): wire texts of deltas whose envelopes (one row per document) and ops are given as rows.
 
     A delta is one message and so one row; its operations come by (site, number).
     """
-    from pyspark.sql import types as T
-
     inner = [c for c, *_ in TYPES["op"]]
     ops = op.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.struct("site_id", "seq").alias("order"), F.to_json(F.struct(*[F.col(c) for c in inner])).alias("op")))).alias("ops"))
 
