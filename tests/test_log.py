@@ -27,6 +27,15 @@ def sf():
     return "/root/testdata/sf0.01"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_tables():
+    """Element tables of one folder are the same for every query: their checkpoints are made once."""
+    make, kept = log._tables, {}
+    log._tables = lambda spark, sf: kept.get(sf) or kept.setdefault(sf, make(spark, sf))
+    yield
+    log._tables = make
+
+
 @pytest.mark.parametrize("name", sorted(log_sql.SQL))
 def test_sql(spark, sf, name):
     assert spark_rows(getattr(log, name)(spark, sf)) == sql_rows(views(sf), log_sql.SQL[name])
