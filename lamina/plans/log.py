@@ -341,7 +341,7 @@ def state_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def delta_refusals(spark: SparkSession, sf: str) -> DataFrame:
-    """Deltas by the reason for which a receiver of the whole log, named as the first site, refuses them."""
+    """Deltas by the reason for which a receiver of the whole log, named "reader", refuses them."""
     rows = messages(table(spark, sf, "op_messages"))
     heads = table(spark, sf, "replica_snapshots").groupBy("document_id").agg(F.min("base_hash").alias("base_hash"))
     found = state.refusals(table(spark, sf, "delta_batches"), rows, heads, clocks.frontier_of(rows), "reader")

@@ -2,7 +2,7 @@
 
 from lamina.functions.canon import CREATED
 from lamina.operators.messages import NOT_SPACE
-from lamina.plans.problems_sql import IDS, ISLANDS, MESSAGES, P5_FOUND
+from lamina.plans.problems_sql import COLLISIONS, IDS, ISLANDS, MESSAGES, P5_FOUND, as_data
 from lamina.schemas import ACTIONS, OP_TYPES
 
 #: The op log: first deliveries.
@@ -260,6 +260,103 @@ parts AS (
   FROM rings GROUP BY document_id, feature_id, type, p
 ),
 whole AS (SELECT document_id, feature_id, '{{"type":"' || type || '","coordinates":' || CASE WHEN starts_with(type, 'Multi') THEN '[' || string_agg(text, ',' ORDER BY p) || ']' ELSE min(text) END || '}}' AS geometry FROM parts GROUP BY document_id, feature_id, type)"""
+_TEXT = lambda x: f"CAST(to_json({x}) AS VARCHAR)"
+FEATURES = f"""{EXPORTED}, {LIFE}, {WRITES},
+held AS (SELECT document_id, feature_id, string_agg({_TEXT('property_key')} || ':' || {as_data('value')}, ',' ORDER BY property_key) AS members FROM won WHERE NOT gone GROUP BY document_id, feature_id),
+features AS (
+  SELECT l.document_id, l.feature_id, e.geometry,
+    '{{"type":"Feature","id":' || {_TEXT('l.feature_id')} || ',"geometry":' || coalesce(e.geometry, 'null') || ',"properties":{{' || coalesce(h.members, '') || '}}}}' AS feature
+  FROM (SELECT * FROM lives WHERE visible) l LEFT JOIN exported e USING (document_id, feature_id) LEFT JOIN held h USING (document_id, feature_id)
+)"""
+
+
+def kept(ring: str) -> str:
+    """Numbers of the positions that don't repeat the one before in the plane."""
+    return f"list_filter(range(1, len({ring}) + 1), lambda i: i = 1 OR NOT ({ring}[i][1] = {ring}[i - 1][1] AND {ring}[i][2] = {ring}[i - 1][2]))"
+
+
+def shut(ring: str) -> str:
+    """Whether a ring ends where it begins, in the plane."""
+    return f"({ring}[1][1] = {ring}[-1][1] AND {ring}[1][2] = {ring}[-1][2])"
+
+
+#: Exported geometries read back: closed rings by polygon and ring number.
+READ = f"""{EXPORTED},
+closed AS (
+  SELECT document_id, feature_id, type, p, unnest(range(len(part))) AS r, unnest(part) AS ring FROM (
+    SELECT document_id, feature_id, type, unnest(range(len(parts))) AS p, unnest(parts) AS part FROM (
+      SELECT document_id, feature_id, type, {parts_of('geometry')} AS parts FROM exported WHERE type IN ('Polygon', 'MultiPolygon')))
+)"""
+#: The four basic repairs, ring by ring; a dropped exterior drops its polygon.
+REPAIRED = f"""{READ},
+thin AS (SELECT * EXCLUDE (ring), list_transform({kept('ring')}, lambda i: ring[i]) AS a FROM closed),
+shut AS (SELECT * EXCLUDE (a), CASE WHEN len(a) >= 3 AND NOT {shut('a')} THEN list_append(a, a[1]) ELSE a END AS b FROM thin),
+turned AS (
+  SELECT * EXCLUDE (b), CASE WHEN len(b) >= 3 AND (CASE WHEN r = 0 THEN {area('b')} < 0 ELSE {area('b')} > 0 END)
+    THEN list_append(list_reverse(b[1:len(b) - 1]), b[len(b) - 1]) ELSE b END AS c FROM shut
+),
+sound AS (SELECT *, len({kept('c')}) - CASE WHEN len({kept('c')}) >= 2 AND {shut('c')} THEN 1 ELSE 0 END >= 3 AS good FROM turned),
+whole AS (SELECT document_id, feature_id, p, '[' || string_agg('[' || array_to_string(list_transform(c, lambda q: {position('q')}), ',') || ']', ',' ORDER BY r) FILTER (WHERE good) || ']' AS text
+  FROM sound GROUP BY document_id, feature_id, p HAVING bool_and(good OR r > 0)),
+fixed AS (SELECT document_id, feature_id, string_agg(text, ',' ORDER BY p) AS body FROM whole GROUP BY document_id, feature_id)"""
+
+
+def turn(a: str, b: str, c: str) -> str:
+    """Sign of the turn a → b → c; points are prefixes of columns x and y."""
+    return f"sign(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x))"
+
+
+def on(a: str, b: str, c: str) -> str:
+    """Whether c, in line with a and b, lies between them."""
+    return f"({c}x BETWEEN least({a}x, {b}x) AND greatest({a}x, {b}x) AND {c}y BETWEEN least({a}y, {b}y) AND greatest({a}y, {b}y))"
+
+
+#: Sides of closed rings, pairs of sides that meet, and where each corner lies to the other rings of its polygon.
+SIDES = f"""{READ},
+corners AS (SELECT document_id, feature_id, p, r, k, ring[k][1] AS x, ring[k][2] AS y, ring[k + 1][1] AS nx, ring[k + 1][2] AS ny FROM (SELECT *, unnest(range(1, len(ring))) AS k FROM closed)),
+sides AS (SELECT *, row_number() OVER (PARTITION BY document_id, feature_id, p, r ORDER BY k) AS n, count(*) OVER (PARTITION BY document_id, feature_id, p, r) AS sides FROM corners WHERE x <> nx OR y <> ny),
+facing AS (
+  SELECT s.document_id, s.feature_id, s.p, s.r, s.n, s.sides, t.p AS p2, t.r AS r2, t.n AS n2,
+    s.x AS ax, s.y AS ay, s.nx AS ex, s.ny AS ey, t.x AS cx, t.y AS cy, t.nx AS dx, t.ny AS dy
+  FROM sides s JOIN sides t ON s.document_id = t.document_id AND s.feature_id = t.feature_id AND (s.p < t.p OR s.p = t.p AND (s.r < t.r OR s.r = t.r AND s.n < t.n))
+    AND greatest(s.x, s.nx) >= least(t.x, t.nx) AND greatest(t.x, t.nx) >= least(s.x, s.nx) AND greatest(s.y, s.ny) >= least(t.y, t.ny) AND greatest(t.y, t.ny) >= least(s.y, s.ny)
+),
+turns AS (SELECT *, {turn('a', 'e', 'c')} AS t1, {turn('a', 'e', 'd')} AS t2, {turn('c', 'd', 'a')} AS t3, {turn('c', 'd', 'e')} AS t4 FROM facing),
+met AS (
+  SELECT *, CASE WHEN t1 = 0 AND t2 = 0 AND t3 = 0 AND t4 = 0 THEN
+      CASE len(list_distinct(list_filter([CASE WHEN {on('a', 'e', 'c')} THEN [cx, cy] END, CASE WHEN {on('a', 'e', 'd')} THEN [dx, dy] END, CASE WHEN {on('c', 'd', 'a')} THEN [ax, ay] END, CASE WHEN {on('c', 'd', 'e')} THEN [ex, ey] END], lambda q: q IS NOT NULL)))
+        WHEN 0 THEN NULL WHEN 1 THEN 'touch' ELSE 'overlap' END
+    WHEN t1 * t2 < 0 AND t3 * t4 < 0 THEN 'cross'
+    WHEN t1 = 0 AND {on('a', 'e', 'c')} OR t2 = 0 AND {on('a', 'e', 'd')} OR t3 = 0 AND {on('c', 'd', 'a')} OR t4 = 0 AND {on('c', 'd', 'e')} THEN 'touch' END AS how FROM turns
+),
+seats AS (
+  SELECT c.document_id, c.feature_id, c.p, c.r, c.k, o.r AS outer_r,
+    bool_or({turn('o.', 'o.n', 'c.')} = 0 AND {on('o.', 'o.n', 'c.')}) AS border,
+    count(*) FILTER (WHERE (o.y > c.y) <> (o.ny > c.y) AND ({turn('o.', 'o.n', 'c.')} > 0) = (o.ny > o.y)) % 2 = 1 AS odd
+  FROM corners c JOIN sides o ON c.document_id = o.document_id AND c.feature_id = o.feature_id AND c.p = o.p AND c.r <> o.r
+  GROUP BY c.document_id, c.feature_id, c.p, c.r, c.k, o.r
+),
+within AS (SELECT document_id, feature_id, p, r, outer_r, min_by(odd, k) FILTER (WHERE NOT border) AS inside FROM seats GROUP BY document_id, feature_id, p, r, outer_r),
+far_seats AS (
+  SELECT c.document_id, c.feature_id, c.p, c.k, o.p AS outer_p, o.r AS outer_r,
+    bool_or({turn('o.', 'o.n', 'c.')} = 0 AND {on('o.', 'o.n', 'c.')}) AS border,
+    count(*) FILTER (WHERE (o.y > c.y) <> (o.ny > c.y) AND ({turn('o.', 'o.n', 'c.')} > 0) = (o.ny > o.y)) % 2 = 1 AS odd
+  FROM corners c JOIN sides o ON c.document_id = o.document_id AND c.feature_id = o.feature_id AND c.p <> o.p WHERE c.r = 0
+  GROUP BY c.document_id, c.feature_id, c.p, c.k, o.p, o.r
+),
+far AS (SELECT document_id, feature_id, p, outer_p, outer_r, min_by(odd, k) FILTER (WHERE NOT border) AS inside FROM far_seats GROUP BY document_id, feature_id, p, outer_p, outer_r),
+problems AS (
+  SELECT document_id, feature_id, p, 1 AS phase, r AS a, 0 AS b, 0 AS c, CASE WHEN len(ring) < 4 THEN ' has fewer than 4 positions' ELSE ' winds the wrong way' END AS what FROM closed
+    WHERE len(ring) < 4 OR CASE WHEN r = 0 THEN {area('ring')} < 0 ELSE {area('ring')} > 0 END
+  UNION ALL SELECT DISTINCT document_id, feature_id, p, 2, r, 0, 0, ' intersects itself' FROM met WHERE p = p2 AND r = r2 AND how IS NOT NULL AND NOT (how = 'touch' AND n2 - n IN (1, sides - 1))
+  UNION ALL SELECT DISTINCT document_id, feature_id, p, 3, r, r2, 0, 'cross' FROM met WHERE p = p2 AND r <> r2 AND how IN ('cross', 'overlap')
+  UNION ALL SELECT document_id, feature_id, p, 3, 0, r, 1, 'outside' FROM within WHERE outer_r = 0 AND NOT coalesce(inside, false)
+  UNION ALL SELECT document_id, feature_id, p, 3, outer_r, r, 1, 'nested' FROM within WHERE outer_r > 0 AND r > outer_r AND inside
+  UNION ALL SELECT document_id, feature_id, p, 3, r, outer_r, 1, 'nested' FROM within WHERE r > 0 AND outer_r > r AND inside
+  UNION ALL SELECT DISTINCT document_id, feature_id, 1000000, 4, p, p2, 0, 'polygons' FROM met WHERE p <> p2 AND how IN ('cross', 'overlap')
+  UNION ALL SELECT document_id, feature_id, 1000000, 4, least(p, outer_p), greatest(p, outer_p), 1, 'inside' FROM far GROUP BY document_id, feature_id, p, outer_p
+    HAVING bool_or(outer_r = 0 AND coalesce(inside, true)) AND NOT coalesce(bool_or(outer_r > 0 AND inside), false)
+)"""
 WIRE_GEOMETRY = "type IN ('insert_feature', 'set_geometry') AND geometry IS NOT NULL AND geometry <> '' AND NOT regexp_matches(geometry, '^[ \\t\\r\\n]*null[ \\t\\r\\n]*$')"
 
 
@@ -281,7 +378,19 @@ def _bad_clock(clock: str) -> str:
     return f"len(list_filter(map_entries({clock}), lambda e: {_blank('e.key')} OR e.value IS NULL OR e.value < 0 OR e.value >= 4611686018427387904)) > 0"
 
 
+DELTA_ERROR = f"""CASE WHEN coalesce(version, 0) <> 3 THEN 'unsupported version' WHEN {_blank('d.document_id')} THEN 'document_id is required' WHEN {_blank('d.site_id')} THEN 'site_id is required'
+  WHEN clock IS NULL OR clock < 0 OR clock >= 4611686018427387904 THEN 'clock is out of range'
+  WHEN {_bad_clock('vector_clock')} OR {_bad_clock('compacted')} THEN 'invalid vector clock'
+  WHEN len(list_filter(map_entries(coalesce(compacted, MAP {{}})), lambda e: e.value > coalesce(vector_clock[e.key], 0))) > 0 THEN 'compacted exceeds the vector clock'
+  WHEN n.ts > clock THEN 'an operation is newer than the clock' END"""
 SQL |= {
+    "delta_refusals": f"""WITH {MESSAGES}, {IDS}, {ISLANDS}, newest AS (SELECT batch_id, max(ts) AS ts FROM m WHERE batch_id IS NOT NULL GROUP BY batch_id),
+heads AS (SELECT document_id, min(base_hash) AS base_hash FROM replica_snapshots GROUP BY document_id),
+k AS (SELECT document_id, map_from_entries(list(row(site_id, frontier))) AS known FROM (
+  SELECT document_id, site_id, coalesce(max(hi) FILTER (WHERE lo = 1), 0) AS frontier FROM islands GROUP BY document_id, site_id) GROUP BY document_id)
+SELECT coalesce({DELTA_ERROR}, CASE WHEN h.document_id IS NULL THEN 'DocumentMismatch' WHEN d.base_hash IS DISTINCT FROM h.base_hash THEN 'BaseMismatch'
+  WHEN len(list_filter(map_entries(coalesce(compacted, MAP {{}})), lambda e: e.value > coalesce(k.known[e.key], 0))) > 0 THEN 'CompactionGap' END) AS refused, count(*) AS batches
+FROM delta_batches d LEFT JOIN newest n USING (batch_id) LEFT JOIN heads h ON h.document_id = d.document_id LEFT JOIN k ON k.document_id = d.document_id GROUP BY 1""",
     "ring_sizes": f"""WITH RECURSIVE {ORDERED}
 SELECT r.document_id, r.feature_id, r.part_id, r.ring_id, count(v.vertex_id) FILTER (WHERE NOT v.deleted) AS visible, count(v.vertex_id) AS total
 FROM rings r LEFT JOIN ordered v USING (document_id, feature_id, part_id, ring_id) GROUP BY ALL""",
@@ -294,6 +403,50 @@ FROM (WITH RECURSIVE {EXPORTED.replace(WIN, BASE_ONLY)} SELECT * FROM exported)
 held AS (SELECT document_id, feature_id, string_agg(property_key || '=' || coalesce(value, ''), chr(10) ORDER BY property_key) AS properties FROM won WHERE NOT gone GROUP BY document_id, feature_id)
 SELECT l.document_id, l.feature_id, e.geometry, coalesce(h.properties, '') AS properties
 FROM (SELECT * FROM lives WHERE visible) l LEFT JOIN exported e USING (document_id, feature_id) LEFT JOIN held h USING (document_id, feature_id)""",
+    "polygon_repair": f"""WITH RECURSIVE {REPAIRED}
+SELECT e.document_id, e.feature_id, CASE WHEN NOT ends_with(e.type, 'Polygon') THEN e.geometry
+  ELSE '{{"type":"' || e.type || '","coordinates":' || CASE WHEN e.type = 'Polygon' THEN coalesce(f.body, '[]') ELSE '[' || coalesce(f.body, '') || ']' END || '}}' END AS geometry
+FROM exported e LEFT JOIN fixed f USING (document_id, feature_id)""",
+    "polygon_validity": f"""WITH RECURSIVE {SIDES}
+SELECT document_id, feature_id, CASE WHEN phase < 3 THEN CASE WHEN a = 0 THEN 'exterior ring' ELSE 'interior ring ' || a END || what
+  WHEN what = 'cross' THEN 'rings ' || a || ' and ' || b || ' cross or share a line' WHEN what = 'outside' THEN 'interior ring ' || b || ' isn''t inside the exterior'
+  WHEN what = 'nested' THEN 'interior rings ' || a || ' and ' || b || ' are nested' ELSE 'polygons ' || a || ' and ' || b || ' overlap' || CASE WHEN what = 'polygons' THEN ' or share a line' ELSE '' END END AS problem
+FROM problems QUALIFY row_number() OVER (PARTITION BY document_id, feature_id ORDER BY p, phase, a, b, c) = 1""",
+    "identity_collisions": COLLISIONS,
+    "delta_wire": f"""WITH {LOG}, {CLOCK_ROWS}, {IDS}, {ISLANDS},
+peer AS (SELECT document_id, e.key AS site_id, min(e.value) AS known FROM entries GROUP BY document_id, e.key),
+heads AS (SELECT document_id, max(row(version, site_id, base_hash)) AS h FROM delta_batches GROUP BY document_id),
+clocks AS (SELECT document_id, max(ts) AS clock FROM log GROUP BY document_id),
+vectors AS (SELECT document_id, string_agg({_TEXT('site_id')} || ':' || n, ',' ORDER BY site_id) AS body FROM (
+  SELECT document_id, site_id, coalesce(max(hi) FILTER (WHERE lo = 1), 0) AS n FROM islands GROUP BY document_id, site_id) GROUP BY document_id),
+ops AS (
+  SELECT l.document_id, l.site_id, l.seq, '{{"type":' || {_TEXT('type')} || ',"site_id":' || {_TEXT('l.site_id')} || ',"seq":' || l.seq || ',"ts":' || ts || ',"feature_id":' || {_TEXT('feature_id')}
+    || coalesce(',"geometry":' || {as_data('geometry')}, '')
+    || CASE WHEN coalesce(cardinality(properties), 0) > 0 THEN ',"properties":{{' || array_to_string(list_transform(list_sort(map_entries(properties)), lambda e: {_TEXT('e.key')} || ':' || {as_data('e.value')}), ',') || '}}' ELSE '' END
+    || coalesce(',"property_key":' || {_TEXT("nullif(property_key, '')")}, '') || coalesce(',"property_value":' || {as_data('property_value')}, '')
+    || coalesce(',"gen":{{"site_id":' || {_TEXT('gen.site_id')} || ',"seq":' || gen.seq || '}}', '')
+    || CASE WHEN geometry_op IS NULL THEN '' ELSE ',"geometry_op":{{"action":' || {_TEXT('geometry_op.action')}
+      || {' || '.join(f"""coalesce(',"{c}":' || {_TEXT(f"nullif(geometry_op.{c}, '')")}, '')""" for c in ('part_id', 'ring_id', 'vertex_id', 'after_vertex_id'))}
+      || CASE WHEN coalesce(len(geometry_op.coord), 0) > 0 THEN ',"coord":' || {position('geometry_op.coord')} ELSE '' END
+      || CASE WHEN coalesce(len(geometry_op.ring), 0) > 0 THEN ',"ring":[' || array_to_string(list_transform(geometry_op.ring, lambda q: {position('q')}), ',') || ']' ELSE '' END
+      || coalesce(',"part":' || {as_data('geometry_op.part')}, '') || '}}' END || '}}' AS text
+  FROM log l LEFT JOIN peer p ON p.document_id = l.document_id AND p.site_id = l.site_id WHERE l.seq > coalesce(p.known, 0)
+),
+lists AS (SELECT document_id, string_agg(text, ',' ORDER BY site_id, seq) AS body FROM ops GROUP BY document_id)
+SELECT document_id, '{{"version":' || h[1] || ',"document_id":' || {_TEXT('document_id')} || ',"site_id":' || {_TEXT('h[2]')} || ',"base_hash":' || {_TEXT('h[3]')} || ',"clock":' || clock
+  || ',"vector_clock":{{' || v.body || '}},"ops":[' || coalesce(o.body, '') || ']}}' AS delta
+FROM heads JOIN clocks USING (document_id) JOIN vectors v USING (document_id) LEFT JOIN lists o USING (document_id)""",
+    "export_features": f"WITH RECURSIVE {FEATURES} SELECT * FROM features",
+    "export_feature_collection": f"""WITH RECURSIVE {FEATURES}
+SELECT document_id, '{{"type":"FeatureCollection","features":[' || string_agg(feature, ',' ORDER BY feature_id) || ']}}' AS collection FROM features GROUP BY document_id""",
+    "lineage_hash": f"""WITH {NORMAL},
+once AS (SELECT DISTINCT document_id, feature_id, properties FROM base_features),
+texts AS (
+  SELECT o.document_id, o.feature_id, '{{"id":' || {_TEXT('o.feature_id')} || ',"geometry":' || coalesce(w.geometry, 'null') || ',"properties":' || CASE WHEN cardinality(o.properties) > 0
+    THEN '{{' || array_to_string(list_transform(list_sort(map_entries(o.properties)), lambda e: {_TEXT('e.key')} || ':' || {as_data('e.value')}), ',') || '}}' ELSE 'null' END || '}}' AS text
+  FROM once o LEFT JOIN whole w USING (document_id, feature_id)
+)
+SELECT document_id, sha256('{{"document_id":' || {_TEXT('document_id')} || ',"features":[' || string_agg(text, ',' ORDER BY feature_id) || ']}}') AS base_hash FROM texts GROUP BY document_id""",
     "normalized_geometry": f"WITH {NORMAL} SELECT b.document_id, b.feature_id, w.geometry FROM b LEFT JOIN whole w USING (document_id, feature_id)",
     "envelope_errors": f"""SELECT CASE {_CREATED}
   WHEN {_blank('site_id')} THEN 'site_id is required' WHEN NOT coalesce(seq {_RANGE}, false) THEN 'seq is out of range' WHEN NOT coalesce(ts {_RANGE}, false) THEN 'ts is out of range'
@@ -317,10 +470,6 @@ counts AS (SELECT document_id, feature_id, count(*) AS n FROM ordered GROUP BY d
 SELECT h.document_id, h.feature_id, coalesce(l.is_base, false) AS base, l.created[1] AS created_ts, l.deleted[1] AS deleted_ts, s.type, coalesce(c.n, 0) AS vertices
 FROM held h LEFT JOIN life l USING (document_id, feature_id) LEFT JOIN shapes s USING (document_id, feature_id) LEFT JOIN counts c USING (document_id, feature_id)""",
     "delta_errors": f"""WITH {MESSAGES}, newest AS (SELECT batch_id, max(ts) AS ts FROM m WHERE batch_id IS NOT NULL GROUP BY batch_id)
-SELECT CASE WHEN coalesce(version, 0) <> 3 THEN 'unsupported version' WHEN {_blank('document_id')} THEN 'document_id is required' WHEN {_blank('site_id')} THEN 'site_id is required'
-  WHEN clock IS NULL OR clock < 0 OR clock >= 4611686018427387904 THEN 'clock is out of range'
-  WHEN {_bad_clock('vector_clock')} OR {_bad_clock('compacted')} THEN 'invalid vector clock'
-  WHEN len(list_filter(map_entries(coalesce(compacted, MAP {{}})), lambda e: e.value > coalesce(vector_clock[e.key], 0))) > 0 THEN 'compacted exceeds the vector clock'
-  WHEN n.ts > clock THEN 'an operation is newer than the clock' END AS error, count(*) AS batches
+SELECT {DELTA_ERROR} AS error, count(*) AS batches
 FROM delta_batches d LEFT JOIN newest n USING (batch_id) GROUP BY 1""",
 }

@@ -26,6 +26,43 @@ REMAINING = """remaining AS (
   WHERE i.seq > coalesce(k.through_seq, 0) AND NOT coalesce(list_contains(k.staged_seqs, i.seq), false)
 )"""
 
+def canonical(x: str, depth: int = 3) -> str:
+    """Canonical text of a JSON text as far down as ``depth``: members sorted, no spaces; numbers keep their spelling at the top only."""
+    if not depth:
+        return f"CAST(json({x}) AS VARCHAR)"
+    k, e = f"k{depth}", f"e{depth}"
+    return (
+        f"CASE json_type({x}) WHEN 'OBJECT' THEN '{{' || array_to_string(list_transform(list_sort(json_keys({x})), lambda {k}: CAST(to_json({k}) AS VARCHAR) || ':' || {canonical(f'json_extract({x}, {_member(k)})', depth - 1)}), ',') || '}}' "
+        f"WHEN 'ARRAY' THEN '[' || array_to_string(list_transform(json_extract({x}, '$[*]'), lambda {e}: {canonical(e, depth - 1)}), ',') || ']' "
+        f"WHEN 'VARCHAR' THEN CAST(json({x}) AS VARCHAR) ELSE regexp_replace(CAST({x} AS VARCHAR), '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') END"
+    )
+
+
+def _member(k: str) -> str:
+    return f"'$.\"' || {k} || '\"'"
+
+
+def as_data(x: str) -> str:
+    """A JSON text as data: canonical, or marked as no JSON; null for the empty text."""
+    return f"CASE WHEN {x} IS NULL OR {x} = '' THEN NULL WHEN json_valid({x}) THEN {canonical(x)} ELSE '!' || {x} END"
+
+
+def _made(field: str, action: str, prefix: str) -> str:
+    return f"CASE WHEN geometry_op.action = '{action}' AND coalesce(geometry_op.{field}, '') = '' THEN '{prefix}:' || site_id || ':' || seq ELSE geometry_op.{field} END"
+
+
+#: Messages with their content as data.
+CONTENT = f"""contents AS (
+  SELECT delivery_id, document_id, site_id, seq, [
+    type, CAST(ts AS VARCHAR), feature_id, property_key, {as_data('geometry')}, {as_data('property_value')}, CAST(gen AS VARCHAR), geometry_op.action,
+    CAST(list_sort(list_transform(map_entries(coalesce(properties, MAP {{}})), lambda e: to_json(e.key) || ':' || coalesce({as_data('e.value')}, ''))) AS VARCHAR),
+    {', '.join(_made(*m) for m in (('part_id', 'add_part', 'part'), ('ring_id', 'add_ring', 'ring'), ('vertex_id', 'insert_vertex', 'op')))},
+    geometry_op.after_vertex_id, CAST(geometry_op.coord AS VARCHAR), CAST(geometry_op.ring AS VARCHAR), {as_data('geometry_op.part')}, CAST(geometry_op IS NULL AS VARCHAR)] AS content
+  FROM m)"""
+P1_FOUND = f"""WITH {MESSAGES}, {CONTENT}
+SELECT delivery_id FROM contents QUALIFY min(delivery_id) OVER (PARTITION BY document_id, site_id, seq, content) < delivery_id"""
+COLLISIONS = f"""WITH {MESSAGES}, {CONTENT}
+SELECT document_id, site_id, seq, count(DISTINCT content) AS contents FROM contents GROUP BY document_id, site_id, seq HAVING count(DISTINCT content) > 1"""
 P1_RANGES = f"WITH {MESSAGES}, {IDS}, {ISLANDS} SELECT document_id, site_id, lo, hi FROM islands"
 P1_ACCEPTED = f"WITH {MESSAGES} SELECT document_id, site_id, seq, min(delivery_id) AS first_delivery, count(*) AS deliveries FROM m GROUP BY document_id, site_id, seq"
 P2_FOUND = f"WITH {MESSAGES}, {IDS}, {MARKS}, {REMAINING} SELECT document_id, site_id, seq FROM remaining"
@@ -151,6 +188,7 @@ UNION ALL SELECT snapshot_id, op_list, op_no, 'owner_share', part_no, 0, unnest(
   WHERE json_type(member) = 'OBJECT' AND json_type(member, '$.shares') = 'ARRAY'"""
 
 SQL = {
+    "p1_found": P1_FOUND,
     "p1_ranges": P1_RANGES,
     "p1_accepted": P1_ACCEPTED,
     "p2_found": P2_FOUND,
