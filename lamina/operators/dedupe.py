@@ -120,7 +120,7 @@ def taken(arrived: DataFrame) -> DataFrame:
     again. A range lies in one block, so both arrays are bounded by its numbers.
     """
     w = Window.partitionBy(*PRODUCER, "block").orderBy("seq")
-    placed = arrived.withColumn("block", block_of(F.col("seq"))).withColumn("island", F.col("seq") - F.row_number().over(w))
+    placed = arrived.withColumn("block", F.coalesce(block_of(F.col("seq")), F.lit(0))).withColumn("island", F.col("seq") - F.row_number().over(w))
     held = F.array_sort(F.collect_list(F.struct("seq", "first_delivery", (F.col("deliveries") > 1).alias("again"))))
     ranges = placed.groupBy(*PRODUCER, "block", "island").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), held.alias("held"))
     return ranges.select(*PRODUCER, "block", "lo", "hi", F.col("held.first_delivery").alias("firsts"), F.col("held.again").alias("again"))

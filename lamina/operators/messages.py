@@ -25,9 +25,14 @@ def well_numbered(column: Column) -> Column:
 
 
 def is_message() -> Column:
-    """The row condition of a message: names that aren't blank, counters in range."""
+    """The row condition of a message: names that aren't blank, counters in range.
+
+    That the identity isn't null follows from the rest. It is said all the same, as joins would add it to one use of a
+    table and not to another, and equal shuffles would then be made twice.
+    """
     counted = well_numbered(F.col("seq")) & well_numbered(F.col("ts"))
-    return counted & not_blank(F.col("document_id")) & not_blank(F.col("site_id")) & not_blank(F.col("type")) & not_blank(F.col("feature_id"))
+    known = F.col("document_id").isNotNull() & F.col("site_id").isNotNull() & F.col("seq").isNotNull()
+    return known & counted & not_blank(F.col("document_id")) & not_blank(F.col("site_id")) & not_blank(F.col("type")) & not_blank(F.col("feature_id"))
 
 
 def messages(rows: DataFrame) -> DataFrame:
