@@ -29,7 +29,8 @@ def frame(spark, rows, schema=MESSAGES):
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_sql(spark, sf, name):
+def test_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
     assert spark_rows(getattr(problems, name)(spark, sf)) == sql_rows(views(sf), SQL[name])
 
 
