@@ -17,7 +17,7 @@ from typing import Any
 
 from lamina import errors
 from lamina.functions import geojson, topology
-from lamina.functions.canon import CREATED, base_document_text, loads, payload_digest, quoted, write
+from lamina.functions.canon import CREATED, base_document_text, loads, payload_digest, write
 from lamina.operators import engine as en
 from lamina.operators.engine import Engine, Result, Stamp, stamp_of
 from lamina.schemas import ACTIONS, COUNTER_BOUND, OP_TYPES, WIRE_VERSION
