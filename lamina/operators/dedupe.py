@@ -180,10 +180,26 @@ def deliver_once(rows: DataFrame, seen: DataFrame | None = None, earlier: DataFr
 
     Messages by the rule of surplus(): different contents under one identity both stay, also where a former run
     (``seen``, ``earlier``) brought the other. A row whose number is malformed (null or out of range) or whose
-    names are blank has no place in a range; it is kept once per exact content and document.
+    names are blank has no place in a range; it goes to looked_up() alone.
     """
     accepted = messages(rows).join(surplus(rows, seen, earlier), "delivery_id", "left_anti").select(*rows.columns)
-    broken = rows.where(~is_message())
-    lookup = broken.select("document_id", "delivery_id", op_digest(F.struct(*OP_COLUMNS)).alias("digest"))
-    kept = lookup.groupBy("document_id", "digest").agg(F.min("delivery_id").alias("delivery_id"))
-    return accepted.unionByName(broken.join(kept.select("delivery_id"), "delivery_id", "left_semi").select(*rows.columns))
+    return accepted.unionByName(looked_up(rows, earlier))
+
+
+def looked_up(rows: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """Of the rows that are no messages, the first delivery of each exact content and document, whole.
+
+    Contents that a former run (``earlier``) brought don't come again. A null delivery_id comes after all
+    others. Copies are combined map-side, so a row that comes very often is one row per map task.
+    """
+    key = ("document_id", "digest")
+
+    def keyed(some: DataFrame) -> DataFrame:
+        return some.where(~is_message()).select(F.struct(*some.columns).alias("row"), "delivery_id", "document_id", op_digest(F.struct(*OP_COLUMNS)).alias("digest"))
+
+    last = F.coalesce("delivery_id", F.lit((1 << 63) - 1))
+    kept = keyed(rows).groupBy(*key).agg(F.min_by("row", last).alias("row"))
+    if earlier is not None:
+        former = keyed(earlier).select(*[F.col(c).alias(f"f_{c}") for c in key])
+        kept = kept.join(former, [F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in key], "left_anti")
+    return kept.select("row.*")

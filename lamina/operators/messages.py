@@ -36,7 +36,8 @@ def is_message() -> Column:
 
 
 def messages(rows: DataFrame) -> DataFrame:
-    """Rows that are messages. Damaged rows (null or blank names, counters out of range) are left out.
+    """Rows that are messages. Damaged rows (null or blank names, counters out of range) are left out:
+    by the definition of the tables they belong to no query; dedupe.looked_up finds the copies among them.
 
     An empty table gives an empty one; further columns pass through.
     """

@@ -101,6 +101,18 @@ def test_ranges_accept_once_and_merge(spark):
     assert sorted(r.delivery_id for r in dedupe.deliver_once(copies, seen, first).collect()) == [43, 44]  # the others came in the former run
 
 
+def test_malformed_rows_are_looked_up_in_former_runs(spark):
+    """Rows without a place in a range: what a former run brought doesn't come again, and none is lost."""
+    first = frame(spark, [message(1), message(2, seq=None, ts=1), message(3, seq=0, ts=1), message(4, site_id=" ", seq=4, ts=4), message(5, document_id=None, seq=5, ts=5)])
+    again = [message(11, seq=None, ts=1), message(12, seq=0, ts=1), message(13, site_id=" ", seq=4, ts=4), message(14, document_id=None, seq=5, ts=5)]
+    fresh = [message(21, seq=None, ts=2), message(22, seq=None, ts=2), message(23, seq=None, ts=1, document_id="e"), message(24, delivery_id=None, seq=None, ts=7), message(25, delivery_id=None, seq=None, ts=2)]
+    then = frame(spark, [message(10, seq=1, ts=1), *again, *fresh])
+    ids = lambda df: sorted(r.delivery_id or 0 for r in df.collect())
+    assert ids(dedupe.deliver_once(then, dedupe.as_ranges(dedupe.numbers(first)), first)) == [0, 21, 23]
+    assert ids(dedupe.deliver_once(first.unionByName(then))) == [0, 1, 2, 3, 4, 5, 21, 23]  # two runs give what one gives
+    assert ids(dedupe.deliver_once(then)) == [0, 10, 11, 12, 13, 14, 21, 23]
+
+
 def test_whole_ranges_over_stretches(spark):
     """Ranges that span stretches, end at a border, and a producer with a gap after every number."""
     rng, step = random.Random(2), 1 << dedupe.STRETCH_BITS
