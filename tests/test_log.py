@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from compare import spark_rows, sql_rows, views
 from pyspark.sql import functions as F
@@ -167,6 +168,38 @@ def test_stream_of_edits_waits_and_releases(spark, tmp_path):
     }
 
 
+def test_edits_of_many_features_take_one_call():
+    """Each feature's state is read once and written once, however many features and edits a call has; counters stay exact and rows without a delivery_id come last."""
+
+    class Handle(dict):
+        reads, writes = 0, 0
+
+        def getMapState(self, *_):
+            return self
+
+        def getValue(self, key):
+            self.reads += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self.writes += 1
+            self[key] = value
+
+    big, held = (1 << 62) - 2, Handle()
+    op = lambda own, delivery, seq, **f: ("d", own, json.dumps(dict(delivery_id=delivery, site_id="s", seq=seq, ts=seq) | f))
+    made = [op(f"f{k}", k, 1, type="insert_feature", geometry='{"type":"Point","coordinates":[1,2]}') for k in range(50)]
+    moves = [op(f"f{k}", d, n, type="edit_geometry", gen=dict(site_id="s", seq=1), geometry_op=dict(action="move_vertex", part_id="part:0", ring_id="ring:0:0", vertex_id="init:0:0", coord=[9.0, x])) for k in range(50) for d, n, x in ((None, big, "Infinity"), (99, big - 1, 4.5))]
+    merging = edits.Geometries()
+    merging.init(held)
+    (out,) = merging.handleInputRows((0,), iter([pd.DataFrame(made[:25] + moves, columns=["document_id", "feature_id", "op"]), pd.DataFrame(made[25:], columns=["document_id", "feature_id", "op"])]), None)
+    assert (held.reads, held.writes, len(out)) == (50, 50, 200)
+    of = out[out.feature_id == "f49"]
+    assert of[["seq", "outcome", "geometry"]].values.tolist() == [[1, "applied", None], [big - 1, "applied", None], [big, "quarantined", None], [None, None, '{"type":"Point","coordinates":[9,4.5]}']]
+    assert not list(merging.handleInputRows((0,), iter([]), None))
+    buffered = pd.DataFrame([op("g", 1, 7, type="edit_geometry", gen=dict(site_id="x", seq=1), geometry_op=dict(action="remove_part"))] * 2, columns=["document_id", "feature_id", "op"])
+    assert [len(list(merging.handleInputRows((0,), iter([buffered]), None))) for _ in range(2)] == [1, 0] and held.writes == 51  # what waits already is left alone
+
+
 def test_embedded_identity(spark):
     rows = frame(spark, [message(1, type="edit_geometry", geometry_op=EDIT | dict(action="remove_part", part_id="p")), message(2)])
     wide = envelope.inherit_identity(rows)
